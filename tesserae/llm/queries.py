@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import pii
+from tesserae.llm import decontam, pii
 from tesserae.llm.common import ship, table
 
 
@@ -14,8 +14,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_pii]
+    own = [op4_pii, op6_decontam]
 
     def shipped(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontam": decontam.SQL}
