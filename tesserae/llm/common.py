@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,24 +66,66 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+#: What stands between words: ASCII white space; ASCII but letters and digits.
+SPACES = r"[\x20\x09-\x0D]+"
+MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def split_words(text: Column, sep: str) -> Column:
+    """The words between separators; null counts as empty. (Splitting takes a tenth of the time of extracting.)"""
+    empty = lambda c: (c == "").cast("int")
+    return let(
+        F.split(F.coalesce(text, F.lit("")), sep, -1),
+        lambda a: F.slice(a, empty(F.element_at(a, 1)) + 1, F.greatest(F.size(a) - empty(F.element_at(a, 1)) - empty(F.element_at(a, -1)), F.lit(0))),
+    )
+
+
+def count_words(text: Column, sep: str) -> Column:
+    parts = F.split(F.coalesce(text, F.lit("")), sep, -1)
+    empty = lambda c: (c == "").cast("int")
+    return F.greatest(F.size(parts) - empty(F.element_at(parts, 1)) - empty(F.element_at(parts, -1)), F.lit(0)).cast("long")
+
+
+CHUNK = 512
+
+
+def match_spans(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches as array<struct<start,end,hit>> in code points, end exclusive.
 
     Built from the pieces between matches, so no Python is needed. The pattern must never match
-    the empty string and must have no capturing group that matters.
+    the empty string.
     """
-    p = F.lit(pattern)
+    p = pattern if isinstance(pattern, Column) else F.lit(pattern)
     hits = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("out"))
+    gaps = F.call_function("split", text, p, F.lit(-1))
+    pairs = let(hits, lambda h: F.zip_with(F.slice(gaps, F.lit(1), F.size(h)), h, lambda g, x: F.struct(F.length(g).alias("g"), x.alias("hit"))))
+    return let(pairs, lambda v: F.when(F.size(v) > 0, placed(v)).otherwise(no_spans()))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once (inside higher-order functions nothing else shares it)."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def placed(pairs: Column) -> Column:
+    """Running offsets over array<struct<g,hit>>; in chunks, as appending to one array takes quadratic time."""
+    width = lambda x: x["g"] + F.length(x["hit"])
+    split = F.transform(F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(CHUNK)), lambda i: F.slice(pairs, i + 1, F.lit(CHUNK)))
+
+    def bases(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + width(x)))
+        return F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def place(chunk: Column, base: Column) -> Column:
+        zero = F.struct(base.alias("at"), no_spans().alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            start, end = acc["at"] + x["g"], acc["at"] + width(x)
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+        return F.aggregate(chunk, zero, step, lambda acc: acc["out"])
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return let(split, lambda chunks: F.flatten(F.zip_with(chunks, F.slice(bases(chunks), F.lit(1), F.size(chunks)), place)))
 
 
 def no_spans() -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import ascii_lower, checkpoint
+from tesserae.llm.common import MARKS, ascii_lower, checkpoint, split_words
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -28,7 +28,7 @@ MAX_BROADCAST = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return split_words(ascii_lower(text), MARKS)
 
 
 def windows(benchmark: DataFrame, gram: int = GRAM) -> DataFrame:
