@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -166,3 +166,20 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionByName(
         e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
+
+
+def ranked(df: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """Add the 1-based place of each row within its group, without bringing a group into one task.
+
+    Rows are range-partitioned by group and order; a row's place is the rows of its group in
+    earlier partitions (one small count for each group and partition) plus its place in its own.
+    The partitioned rows are checkpointed, so that a task that runs again can't see other bounds.
+    """
+    p = checkpoint(df.repartitionByRange(F.col(group), *order).select("*", F.spark_partition_id().alias("rk_part")))
+    counts = p.groupBy(group, "rk_part").agg(F.count(F.lit(1)).alias("rk_n"))
+    before = Window.partitionBy(group).orderBy("rk_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(group).alias("rk_group"), F.col("rk_part").alias("rk_p"), F.coalesce(F.sum("rk_n").over(before), F.lit(0)).alias("rk_before"))
+    own = Window.partitionBy(group, "rk_part").orderBy(*order)
+    p = p.withColumn("rk_own", F.row_number().over(own))
+    out = p.join(counts, p[group].eqNullSafe(counts["rk_group"]) & (p["rk_part"] == counts["rk_p"]))
+    return out.withColumn(name, F.col("rk_before") + F.col("rk_own")).drop("rk_part", "rk_group", "rk_p", "rk_before", "rk_own")

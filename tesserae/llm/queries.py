@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import decontam, license_scan, pii
+from tesserae.llm import decontam, license_scan, mixing, pii, sharding
 from tesserae.llm.common import ship, table
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -23,7 +31,7 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_pii, op6_decontam, op10_license]
+    own = [op3_mixing, op4_pii, op6_decontam, op8_sharding, op10_license]
 
     def shipped(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,4 +44,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontam": decontam.SQL}
+    return {"op3_mixing": mixing.SQL, "op6_decontam": decontam.SQL}
