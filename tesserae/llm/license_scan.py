@@ -145,13 +145,13 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add lic_n_words, lic_base (sorted struct<start,label> of base phrases) and lic_found (struct<start,end,rule,label,score>, suppressed, by start)."""
-    kept = docs.columns
+    """The columns of docs but the text (it doesn't travel with the detections), and lic_n_words, lic_base (sorted struct<start,label> of base phrases) and lic_found (struct<start,end,rule,label,score>, suppressed, by start)."""
+    kept = [c for c in docs.columns if c != text]
     gates = sorted({kw for kw, *_ in rules()})
     t = F.coalesce(F.col(text), F.lit(""))
     gate = F.regexp_like(t, F.lit(GATE))
     norm = F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(t), GAP, " ")), F.lit(" "))).otherwise(F.lit(" "))
-    src = docs.select(F.monotonically_increasing_id().alias("lic_row"), F.struct(*kept).alias("lic_keep"), count_words(t, MARKS).alias("lic_n_words"), norm.alias("lic_norm"))
+    src = docs.select(F.monotonically_increasing_id().alias("lic_row"), F.struct(F.lit(0).alias("lic_"), *kept).alias("lic_keep"), count_words(t, MARKS).alias("lic_n_words"), norm.alias("lic_norm"))
     keys = F.filter(F.array(*[F.when(F.contains("lic_norm", F.lit(f" {g} ")), F.lit(g)) for g in gates]), lambda k: k.isNotNull())
     keys = F.when(F.length("lic_norm") > 1, keys).otherwise(F.expr("cast(array() as array<string>)"))
     src = src.withColumn("lic_keys", keys)
