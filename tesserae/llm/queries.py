@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import decontam, license_scan, minhash, mixing, pii, sharding
+from tesserae.llm import decontam, embed_dedup, license_scan, minhash, mixing, pii, sharding
 from tesserae.llm.common import ship, table
 
 
+def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.report(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_minhash, op3_mixing, op4_pii, op6_decontam, op8_sharding, op10_license]
+    own = [op1_embed_dedup, op2_minhash, op3_mixing, op4_pii, op6_decontam, op8_sharding, op10_license]
 
     def shipped(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
