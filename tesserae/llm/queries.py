@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import decontam, embed_dedup, langid, license_scan, minhash, mixing, pii, sharding
+from tesserae.llm import decontam, embed_dedup, langid, license_scan, minhash, mixing, pii, sharding, tokens
 from tesserae.llm.common import ship, table
 
 
@@ -30,6 +30,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,7 +47,7 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_embed_dedup, op2_minhash, op3_mixing, op4_pii, op6_decontam, op8_sharding, op9_langid, op10_license]
+    own = [op1_embed_dedup, op2_minhash, op3_mixing, op4_pii, op5_tokens, op6_decontam, op8_sharding, op9_langid, op10_license]
 
     def shipped(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
