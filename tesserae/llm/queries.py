@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import decontam, embed_dedup, langid, license_scan, minhash, mixing, pii, sharding, tokens
+from tesserae.llm import decontam, embed_dedup, langid, license_scan, minhash, mixing, pii, sharding, tokens, warc
 from tesserae.llm.common import ship, table
 
 
@@ -38,6 +38,10 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_embed_dedup, op2_minhash, op3_mixing, op4_pii, op5_tokens, op6_decontam, op8_sharding, op9_langid, op10_license]
+    own = [op1_embed_dedup, op2_minhash, op3_mixing, op4_pii, op5_tokens, op6_decontam, op7_warc, op8_sharding, op9_langid, op10_license]
 
     def shipped(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
