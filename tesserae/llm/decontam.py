@@ -105,11 +105,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", gram: i
     """Remove contaminated documents (`document`) or the hit words only (`span`); columns as in docs."""
     if mode not in ("document", "span"):
         raise ValueError(f"unknown mode {mode}")
+    if mode == "document":
+        # only the keys of hit texts meet the documents again, so texts don't pass through an aggregation
+        hit = hits(docs.select(F.xxhash64("text").alias("hk"), F.col("doc_id").alias("hid"), "text"), benchmark, gram).where(F.size("dc_spans") > 0).select("hid", "hk").distinct()
+        return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hid")) & (F.xxhash64("text") == F.col("hk")), "left_anti")
     whole = docs.select(*[F.col(c) for c in docs.columns], F.col("text").alias("dc_text"))
     h = hits(whole, benchmark, gram)
     spans = F.col("dc_spans")
-    if mode == "document":
-        return h.where(F.size(spans) == 0).select(*[F.col("dc_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
     text = F.when(F.size(spans) == 0, F.col("dc_text")).otherwise(cut_spans(F.col("dc_text"), spans))
     return h.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 

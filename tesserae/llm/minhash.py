@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.cells import link_all, map_cells
@@ -243,6 +243,14 @@ def dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TRE
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
+    """The rows of docs whose id is the smallest of their group, once each (rows with a null id stay)."""
+    kept = dedup(docs, k, similarity, trees).where("kept and doc_id is not null").select(F.col("doc_id").alias("kid")).distinct()
+    whole = docs.join(kept, F.col("doc_id") == F.col("kid"))
+    whole = whole.withColumn("mh_r", F.row_number().over(Window.partitionBy("kid").orderBy(F.xxhash64("text")))).where("mh_r = 1")
+    return whole.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """The columns of op2."""
     return dedup(docs, k=3, similarity=0.85)

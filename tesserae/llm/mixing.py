@@ -57,14 +57,13 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as it is taken."""
-    key = ["doc_id", "source", "size"]
-    c = copies(docs, weights, max_repeat, seed).select(*[F.col(k).alias(f"mx_{k}") for k in key], "copies")
-    c = c.withColumn("mx_k", F.row_number().over(Window.partitionBy(*[f"mx_{k}" for k in key]).orderBy("copies"))).where("copies > 0")
-    d = docs.withColumn("mx_n", count_words(F.col("text"), SPACES))
-    d = d.withColumn("mx_r", F.row_number().over(Window.partitionBy("doc_id", "source", "mx_n").orderBy(F.xxhash64("text"))))
-    on = d["doc_id"].eqNullSafe(c["mx_doc_id"]) & d["source"].eqNullSafe(c["mx_source"]) & (d["mx_n"] == c["mx_size"]) & (d["mx_r"] == c["mx_k"])
-    out = d.join(c, on).withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*docs.columns)
+    # rows meet their copies by one key, on which both the join and the numbering of repeated rows are partitioned
+    c = copies(docs, weights, max_repeat, seed).groupBy(F.xxhash64("doc_id", "source", "size").alias("mx_key")).agg(F.sort_array(F.collect_list("copies")).alias("mx_copies"))
+    d = docs.withColumn("mx_key", F.xxhash64("doc_id", "source", count_words(F.col("text"), SPACES)))
+    out = d.join(c.where(F.exists("mx_copies", lambda n: n > 0)), "mx_key")
+    out = out.withColumn("mx_r", F.row_number().over(Window.partitionBy("mx_key").orderBy(F.xxhash64("text"))))
+    n = F.element_at("mx_copies", F.col("mx_r")).cast("int")
+    return out.where(n > 0).withColumn("mx_copy", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
