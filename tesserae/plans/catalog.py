@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import quant_queries
+from tesserae.plans import cache_queries, quant_queries
 
-MODULES = (quant_queries,)
+MODULES = (quant_queries, cache_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
