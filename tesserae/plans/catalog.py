@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import cache_queries, quant_queries
+from tesserae.plans import cache_queries, image_queries, quant_queries, section_queries
 
-MODULES = (quant_queries, cache_queries)
+MODULES = (quant_queries, cache_queries, section_queries, image_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
