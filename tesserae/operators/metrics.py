@@ -46,7 +46,8 @@ def outlier_error(values: DataFrame, share: float, *by: str) -> DataFrame:
     mags = values.groupBy(*by, F.abs("x").alias("m")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(diff())).alias("e"))
     sizes = mags.groupBy(*by).agg(F.greatest(F.lit(1), F.floor(F.sum("n") * F.lit(share))).cast("long").alias("k"))
     above = F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1))
-    top = mags.join(sizes, list(by)).withColumn("before", F.coalesce(above, F.lit(0))).where("before < k")
+    met = mags.join(sizes, list(by)) if by else mags.crossJoin(F.broadcast(sizes))  # sizes is one row then
+    top = met.withColumn("before", F.coalesce(above, F.lit(0))).where("before < k")
     part = F.least(F.col("n"), F.col("k") - F.col("before")) / F.col("n")
     return top.groupBy(*by).agg(F.sum(F.least(F.col("n"), F.col("k") - F.col("before"))).alias("k"), (100.0 * F.sum(F.col("e") * part) / (F.sum(F.col("m") * F.col("n") * part) + 1e-12)).alias("outlier_err"))
 

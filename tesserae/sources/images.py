@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import wavelet as W
+from tesserae.operators.arrow import arrow_schema
 
 IMAGE = "id long, height int, width int, channels int, data binary"
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "gif")
@@ -22,6 +23,9 @@ def read_directory(spark: SparkSession, path: str, height: int, width: int, chan
     if limit is not None:
         rows = rows.orderBy("origin").limit(limit)
 
+    schema = "origin string, height int, width int, channels int, data binary"
+    types = arrow_schema(schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -30,11 +34,11 @@ def read_directory(spark: SparkSession, path: str, height: int, width: int, chan
                 if channels == 1 and a.shape[2] == 3:
                     raise ValueError(f"{r['origin']} has colour, one channel was asked for")
                 a = np.repeat(a, 3, 2) if channels == 3 and a.shape[2] == 1 else a
-                yield pa.RecordBatch.from_pylist([{"origin": r["origin"], "height": height, "width": width, "channels": channels, "data": W.resize(a, height, width).tobytes()}])
+                yield pa.RecordBatch.from_pylist([{"origin": r["origin"], "height": height, "width": width, "channels": channels, "data": W.resize(a, height, width).tobytes()}], types)
 
     from tesserae.sources.feature_cache import numbered
 
-    return numbered(rows.mapInArrow(run, "origin string, height int, width int, channels int, data binary"), "origin", "id").select("id", "height", "width", "channels", "data")
+    return numbered(rows.mapInArrow(run, schema), "origin", "id").select("id", "height", "width", "channels", "data")
 
 
 def tiles(df: DataFrame, key: str, payload: Column, side: int = 16) -> DataFrame:
