@@ -51,7 +51,7 @@ def signs(d: int) -> np.ndarray:
 def hashes(x: np.ndarray) -> np.ndarray:
     """(rows, TABLES, 1 + PROBES) bucket numbers: the own one first, then the next best."""
     n, dim = x.shape
-    d = 1 << max(1, (dim - 1).bit_length())
+    d = 1 << max((2 * PROBES + 1).bit_length(), (dim - 1).bit_length())  # axes enough for the runners-up of short vectors
     x = np.pad(x, ((0, 0), (0, d - dim))).astype(np.float32)
     flips = signs(d)
     out = np.empty((n, TABLES, 1 + PROBES), dtype=np.int64)

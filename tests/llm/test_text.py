@@ -1,0 +1,141 @@
+import hashlib
+import re
+
+import pytest
+from helpers import awkward, documents, marks
+from pyspark.sql import functions as F
+
+from tesserae.llm import decontam, license_scan, pii, tokens
+
+BASE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda h: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda h: all(int(x) <= 255 for x in h.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda h: 14 <= len(re.sub("[^0-9]", "", h)) <= 19 and luhn(re.sub("[^0-9]", "", h))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda h: 10 <= len(re.sub("[^0-9]", "", h)) <= 15),
+)
+
+
+def luhn(x):
+    return sum(v if k % 2 == 0 else v * 2 - 9 * (v > 4) for k, v in enumerate(map(int, reversed(x)))) % 10 == 0
+
+
+def spans(text):
+    return sorted((m.start(), k, m.end(), kind) for k, (kind, p, ok) in enumerate(BASE) for m in re.finditer(p, text or "") if ok(m[0]))
+
+
+TEXTS = [
+    None, "", "nothing", "a@b.c_d@e.f a@b.c-d@e.f x@y", "a@b..c @x.y é@ü.com me.you+x@mail-1.example.com.", "1.2.3.4.5.6.7.8 999.1.1.1 0001.02.3.4 1.2.3 256.1.1.1.1",
+    "4111 1111 1111 1111 and 4111-1111-1111-1111-0 4111111111111112 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "+1 (988) 555-2485 +49.30.1234567 +123 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7", "x" * 8_000 + "@" + "y" * 10 + ".z " + "9" * 9_000 + " 1.1.1.1" + ".a" * 9_000,
+    "my IBAN is DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not DE88 3704 0044 0532 0130 00", "social security 123-45-6789 and plain 123-45-6789" + " " * 60 + "x" * 30 + " 987-65-4320 call (555) 123-4567 now", "😀 a@b.co 😀 +12 345 678 90 12",
+]
+
+
+def test_pii_base(spark):
+    rows = [(i, t, None, None, None) for i, t in enumerate(TEXTS)]
+    for r in pii.report(documents(spark, rows)).collect():
+        want = spans(TEXTS[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest(), r.doc_id
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[3] == k for s in want) for k, *_ in BASE]
+        assert set(f"{k}:{a}:{b}" for a, _, b, k in want) <= set(r.spans.split(",")) | {""}
+
+
+def test_pii_method(spark):
+    got = {r.doc_id: r.spans for r in pii.report(documents(spark, [(i, t, None, None, None) for i, t in enumerate(TEXTS)])).collect()}
+    assert got[9].count("iban:") == 2 and "ssn:" in got[10] and "local_phone:" in got[10]
+    out = pii.redact(documents(spark, [(1, "mail a@b.co or 1.2.3.4!", None, None, None), (2, None, None, None, None)]).withColumn("spans", F.lit("mine"))).orderBy("doc_id").collect()
+    assert out[0].text == "mail [EMAIL] or [IP]!" and out[1].text is None and out[0].spans == "mine"
+    assert pii.report(documents(spark, [])).count() == 0
+
+
+def brute_hits(docs, items, n=10):
+    wins = {}
+    for i, t in items:
+        w = marks(t)
+        for k in range(max(1, len(w) - n + 1) if w else 0):
+            wins.setdefault(tuple(w[k:k + n]), set()).add(str(i))
+    sizes = {len(w) for w in wins}
+    out = {}
+    for i, t in docs:
+        w, hit, ids = marks(t), set(), set()
+        for s in sizes:
+            for k in range(len(w) - s + 1):
+                if (x := tuple(w[k:k + s])) in wins:
+                    hit |= set(range(k, k + s))
+                    ids |= wins[x]
+        out[i] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
+    return out
+
+
+@pytest.fixture(scope="module")
+def tainted():
+    rows = awkward(4)
+    items = [(7, " ".join(rows[4][1].split()[:14] or ["solo"])), (70, "Only Three words"), (8, "one"), (9, None), (10, "..."), (11, "the the the the the the the the the the the the"), (7, "Only Three words")]
+    rows.append((900, "x ONLY-three,words y the the the the the the the the the the the the the z one", None, None, None))
+    rows.append((901, "only three words only three words", None, None, None))
+    return rows, items
+
+
+@pytest.mark.parametrize("max_set,max_broadcast", [(50_000, 200_000), (0, 200_000), (0, 0)])
+def test_decontamination(spark, tainted, max_set, max_broadcast):
+    rows, items = tainted
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    h = decontam.hits(documents(spark, rows).select("doc_id", "text"), bench, max_set=max_set, max_broadcast=max_broadcast)
+    got = {r.doc_id: (r.dc_n_words, r.n, len(r.dc_items), hashlib.sha256(",".join(r.dc_items).encode()).hexdigest(), r.n > 0) for r in h.select("*", decontam.union_length(F.col("dc_spans")).alias("n")).collect()}
+    assert got == brute_hits([(r[0], r[1]) for r in rows], items)
+
+
+def test_decontamination_removes(spark, tainted):
+    rows, items = tainted
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), documents(spark, rows)
+    want = brute_hits([(r[0], r[1]) for r in rows], items)
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {i for i, w in want.items() if not w[1]}
+    spans = {r.doc_id: r.text for r in decontam.clean(docs, bench, "span").collect()}
+    assert spans[900] == "x y z " or spans[900].split() == ["x", "y", "z"]
+    assert spans[901].split() == [] and all(spans[r[0]] == r[1] for r in rows if not want[r[0]][1])
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.clean(docs, none).count() == len(rows)
+    assert decontam.report(documents(spark, []), bench).count() == 0
+    twice = decontam.report(documents(spark, rows + rows), bench)
+    assert twice.count() == 2 * len(rows)
+
+
+LICENSES = [
+    None, "", "MIT License", "x mit-license, MIT  license.", "_mit_license_ élicense", "Licensed under the Apache License, Version 2.0.", "GNU General Public License, version 3", "general public license general public license",
+    "Licensed under CC BY-NC 4.0.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "All rights reserved.", "mit der lizenz", "word " * 30_000 + "mit license " * 3, "SPDX-License-Identifier: MPL-2.0", "public domain? released into the public domain",
+]
+
+
+def test_licenses(spark):
+    rows = [(i, t, None, None, None) for i, t in enumerate(LICENSES)]
+    for r in license_scan.report(documents(spark, rows + rows)).collect():
+        w = marks(LICENSES[r.doc_id])
+        at = sorted((k, lab) for p, lab in license_scan.PHRASES for k in range(len(w)) if w[k:k + len(p.split())] == p.split())
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None), r.doc_id
+        assert r.base_labels == ",".join(sorted({lab for _, lab in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1
+    got = {r.doc_id: r.labels for r in license_scan.report(documents(spark, rows)).collect()}
+    assert got[5] == "apache,apache-2.0" and got[6] == "gpl,gpl-3.0" and got[8] == "cc-by-nc-4.0" and got[9] == "bsd" and got[13] == "mpl-2.0" and got[14] == "public-domain" and got[11] == ""
+    assert len(license_scan.rules()) > 200 and license_scan.report(documents(spark, [])).count() == 0
+    kept = license_scan.scan(documents(spark, rows).withColumn("score", F.lit(3)))
+    assert kept.first().score == 3
+
+
+def test_token_counts(spark):
+    e = tokens.Encoder.get(tokens.default_path())
+    assert e.drops_space
+    rows = awkward(9, 30)
+    rows.append((990, "a" * 5000 + " é <|endoftext|> it's" * 3000, None, None, None))
+    got = {r.doc_id: r for r in tokens.count(documents(spark, rows), chunk=500, overlap=64).collect()}
+    for i, t, *_ in rows:
+        n = e.lengths([t or ""])[0]
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 2048)
+    assert tokens.report(documents(spark, [])).count() == 0
+
+
+def test_splicing_gives_the_same_tokens():
+    import random
+
+    e, r = tokens.Encoder.get(tokens.default_path()), random.Random(2)
+    for _ in range(120):
+        t = "".join(r.choice(["a", "Bc", "é", "é", "'s", " ", "\n", "  ", "1", "<|endoftext|>", "İ", "--", "漢", " "]) for _ in range(r.randint(0, 700)))
+        assert list(e.spliced(t, 64, 8)) == e.spans(t, 0, len(t))
