@@ -113,13 +113,11 @@ def dct_matrix() -> list[list[float]]:
     return [[float(np.sqrt((1 if k == 0 else 2) / 8) * np.cos(np.pi * (2 * i + 1) * k / 16)) for i in range(8)] for k in range(8)]
 
 
-def dequant_linear(df: DataFrame, code: str, weights: DataFrame, out: str = "y") -> DataFrame:
-    """df with `out`: decoded vector times a weight table (row int, col int, w double), summed by row.
+def dequant_linear(df: DataFrame, key: str, code: str, weights: DataFrame, out: str = "y") -> DataFrame:
+    """(key, out): decoded vector times a weight table (row int, col int, w double), summed by row. key names each row of df.
 
     The weights are one model layer; they are joined by column (broadcast only below Spark's own size threshold).
     """
-    w = df.withColumn("__id", F.monotonically_increasing_id())
-    x = w.select("__id", F.posexplode(decode(F.col(code))).alias("col", "x"))
-    y = x.join(weights, "col").groupBy("__id", "row").agg(F.sum(F.col("x") * F.col("w")).alias("v"))
-    y = y.groupBy("__id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "v"))), lambda r: r["v"]).alias(out))
-    return w.join(y, "__id", "left").drop("__id")
+    x = df.select(key, F.posexplode(decode(F.col(code))).alias("col", "x"))
+    y = x.join(weights, "col").groupBy(key, "row").agg(F.sum(F.col("x") * F.col("w")).alias("v"))
+    return y.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "v"))), lambda r: r["v"]).alias(out))

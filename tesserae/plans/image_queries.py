@@ -13,6 +13,7 @@ from tesserae.plans.cache_queries import scratch
 from tesserae.plans.quant_queries import R6, d, f32, sql_bf16
 from tesserae.sources import images as ingest
 from tesserae.sources import pixel_cache as P
+from tesserae.sources.tables import scan
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def tiles(spark, path):
-    return ingest.tiles(spark.read.parquet(f"{path}/pages.parquet").select("page_id", "html"), "page_id", F.encode("html", "UTF-8"), SIDE)
+    return ingest.tiles(scan(spark, path, "pages", "page_id", "html"), "page_id", F.encode("html", "UTF-8"), SIDE)
 
 
 def numbered(spark, path):

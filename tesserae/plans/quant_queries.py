@@ -9,6 +9,7 @@ from tesserae.functions import numerics as N
 from tesserae.functions import search as S
 from tesserae.operators import metrics as M
 from tesserae.operators import quantize as Q
+from tesserae.sources.tables import scan
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def emb(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding")
+    return scan(spark, d, "embeddings", "vec_id", "label", "embedding")
 
 
 # SQL pieces. Constants are cast, as decimal literals would divide as decimals.
@@ -457,5 +458,5 @@ def dequant_linear(spark, path):
     """decoded @ W.T + b with a small fixed W."""
     w = spark.range(4).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("col"))
     w = w.withColumn("w", ((F.col("row") * 7 + F.col("col") * 3) % 11 - 5).cast("double"))
-    y = Q.dequant_linear(sym(spark, path).select("vec_id", "code"), "code", w)
+    y = Q.dequant_linear(sym(spark, path).select("vec_id", "code"), "vec_id", "code", w)
     return y.select("vec_id", F.posexplode("y").alias("out_row", "v")).select("vec_id", F.col("out_row").cast("long").alias("out_row"), F.round(F.col("v") + F.col("out_row"), 5).alias("y"))

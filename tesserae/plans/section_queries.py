@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import entropy as E
 from tesserae.operators import sections as S
 from tesserae.plans.quant_queries import d, sql_sym, sql_values, sym
+from tesserae.sources.tables import scan
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark, path):
-    return spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    return scan(spark, path, "documents", "doc_id", "text")
 
 
 def text():

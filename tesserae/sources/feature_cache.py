@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.operators import quantize as Q
+from tesserae.sources.tables import settled
 
 META = T.StructType([
     T.StructField("num_samples", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("group_size", T.IntegerType()),
@@ -92,7 +93,8 @@ class FeatureCacheWriter:
 
 def numbered(df: DataFrame, order: str, name: str = "sample_id") -> DataFrame:
     """df with positions 0..n-1 by `order`: partition counts and a place in each range partition, no single task."""
-    p = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
+    # settled, as two uses of a range partitioning may sample different bounds
+    p = settled(df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()))
     counts = p.groupBy("__p").count()
     before = counts.select(F.col("__p").alias("__q"), F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     own = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
