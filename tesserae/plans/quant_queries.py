@@ -460,3 +460,25 @@ def dequant_linear(spark, path):
     w = w.withColumn("w", ((F.col("row") * 7 + F.col("col") * 3) % 11 - 5).cast("double"))
     y = Q.dequant_linear(sym(spark, path).select("vec_id", "code"), "vec_id", "code", w)
     return y.select("vec_id", F.posexplode("y").alias("out_row", "v")).select("vec_id", F.col("out_row").cast("long").alias("out_row"), F.round(F.col("v") + F.col("out_row"), 5).alias("y"))
+
+
+@query()
+def scale_searches(spark, path):
+    """Error of the six research scale searches over all blocks of 32."""
+    import numpy as np
+    import pyarrow as pa
+
+    methods = ("stored_scale", "decoded_score", "zero_range", "wire_grid", "lattice_refine", "wide_grid")
+
+    def run(batches):
+        for b in batches:
+            rows = [np.array(r, np.float64) for r in b.column(0).to_pylist() if r]
+            if not rows:
+                continue
+            x = np.concatenate([S.to_blocks(r, 32) for r in rows])
+            for m in methods:
+                q, s, zp = S.scale_search(x, m)
+                yield pa.record_batch({"method": pa.array([m]), "sse": pa.array([float(((x - S.bf16((q - zp[:, None]) * s[:, None])) ** 2).sum())]), "energy": pa.array([float((x * x).sum())])})
+
+    sums = emb(spark, path).select(Q.values("embedding").alias("x")).mapInArrow(run, "method string, sse double, energy double")
+    return sums.groupBy("method").agg(R6(100.0 * F.sqrt(F.sum("sse")) / F.sqrt(F.sum("energy"))).alias("rel_rmse"))

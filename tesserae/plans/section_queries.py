@@ -175,3 +175,26 @@ def coder_efficiency(spark, path):
     j = bound.join(size("rans"), "doc_id").join(size("tans", block=512), "doc_id").join(lang, "doc_id")
     per = lambda c: F.round(8 * F.sum(c) / F.sum("n_bytes"), 6)
     return j.groupBy("lang").agg(F.sum("n_bytes").alias("n_bytes"), per("rans").alias("rans_bits"), per("tans").alias("tans_bits"), F.round(F.sum(F.col("shannon") * F.col("n_bytes")) / F.sum("n_bytes"), 6).alias("bound_bits"), F.round(F.avg((F.col("tans") < F.col("rans")).cast("double")), 6).alias("tans_wins"), F.percentile(F.col("tans") / F.col("rans"), F.lit(0.5)).alias("p50"))
+
+
+@query()
+def table_normalize(spark, path):
+    """Integer frequencies of each language's bytes, with a sum of 4096."""
+    src = spark.read.parquet(f"{path}/documents.parquet").select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    parts = S.map_sections(src, "lang", text(), lambda ps: [[{"byte": int(b), "n": int(h[b])} for b in h.nonzero()[0]] for h in map(E.histogram, ps)], "byte int, n long")
+    counts = parts.groupBy("lang", "byte").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("byte", "n")).alias("h"))  # at most 256 pairs a language
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for lang, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c = np.zeros(256, np.int64)
+                for p in pairs:
+                    c[p["byte"]] = p["n"]
+                f = E.normalize(c)
+                used = np.flatnonzero(f)
+                yield pa.record_batch({"lang": pa.array([lang] * len(used)), "byte": pa.array(used, pa.int32()), "freq": pa.array(f[used], pa.int64())})
+
+    return counts.mapInArrow(run, "lang string, byte int, freq long")
