@@ -23,7 +23,7 @@ SHARDS = 40
 OVERHEAD = 16
 HASH_BITS = 16
 #: A group with more than 1/PIECES of the documents (and more than PIECE_ROWS) is handled in pieces.
-PIECES, PIECE_ROWS = 1024, 1000
+PIECES, PIECE_ROWS = 1024, 128
 
 
 def capacity(sizes: np.ndarray, shards: int) -> int:
