@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 HIDDEN, EMBED, BATCH, STEPS, RATE, SEED = 16, 12, 256, 400, 0.01, 3
 #: The sample: documents of a language, and characters of each, that training may read.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 1000
+SAMPLE_DOCS, SAMPLE_CHARS, SPARE = 300, 1000, 4
 SLICE, MARGIN = 48, 8
 CACHE = 700_000
 HELD_OUT = 2
@@ -252,9 +252,18 @@ def remainder(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """Fit on at most docs_per_lang documents a language that are not held out, in an order that only depends on their text."""
+    """Fit on at most docs_per_lang distinct texts a language that are not held out: those of smallest hash.
+
+    An estimate of each language's distinct texts gives a hash bound that leaves about SPARE times as
+    many as are needed, copies are merged before they move, and only those few are ranked.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != HELD_OUT))
     rows = labelled.select(F.substring("text", 1, chars).alias("text"), "lang", F.xxhash64("text").alias("k"))
+    texts = rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("texts"))
+    near = F.pmod(F.col("k"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * SPARE * docs_per_lang / F.col("texts")
+    # a row for each language, which is an output unit of the network: small enough to send everywhere
+    rows = rows.join(F.broadcast(texts), "lang").where(near).select("lang", "k", "text")
+    rows = rows.groupBy("lang", "k").agg(F.min("text").alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
     picked = rows.withColumn("r", first).where(F.col("r") <= docs_per_lang).select("text", "lang").collect()
     return fit(sorted((r.text, r.lang) for r in picked))
