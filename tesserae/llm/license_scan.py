@@ -2,7 +2,8 @@
 
 Texts are first brought to single-spaced lower-case words. A document that holds none of the gate
 keywords is done. Others meet, keyword by keyword, the rules filed under that keyword (a broadcast
-equi-join; the rule table's size is fixed by this module). Detections become intervals; an interval
+equi-join; the rule table's size is fixed by this module). A rule is filed under a keyword for each
+of its alternatives, so that every match holds one; what meets it twice is found once. Detections become intervals; an interval
 is suppressed by a longer one that contains it, or by an equal one of higher priority (listed earlier).
 
 Defined results: null and empty texts have no words and no detections; repeated rows are judged one
@@ -21,7 +22,7 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Names as they read once a text is single-spaced lower-case words: (label, gate keyword, regex of the name, tag of a machine-readable notice)
+# Names as they read once a text is single-spaced lower-case words: (label, gate keywords, regex of the name, tag of a machine-readable notice)
 V = r"(?: version| v)? ?"
 FAMILIES = (
     ("mit", "mit", r"mit", r"mit"),
@@ -33,15 +34,15 @@ FAMILIES = (
     ("gpl-1.0", "gnu", rf"gnu general public (?:license|licence){V}1(?: 0)?", r"gpl 1 0"),
     ("gpl-2.0", "gnu", rf"gnu general public (?:license|licence){V}2(?: 0)?", r"gpl 2 0"),
     ("gpl-3.0", "gnu", rf"gnu general public (?:license|licence){V}3(?: 0)?", r"gpl 3 0"),
-    ("lgpl-2.0", "lesser", rf"gnu (?:lesser|library) general public (?:license|licence){V}2(?: 0)?", r"lgpl 2 0"),
+    ("lgpl-2.0", "lesser library", rf"gnu (?:lesser|library) general public (?:license|licence){V}2(?: 0)?", r"lgpl 2 0"),
     ("lgpl-2.1", "lesser", rf"gnu lesser general public (?:license|licence){V}2 1", r"lgpl 2 1"),
     ("lgpl-3.0", "lesser", rf"gnu lesser general public (?:license|licence){V}3(?: 0)?", r"lgpl 3 0"),
     ("agpl-1.0", "affero", rf"affero general public (?:license|licence){V}1(?: 0)?", r"agpl 1 0"),
     ("agpl-3.0", "affero", rf"(?:gnu )?affero general public (?:license|licence){V}3(?: 0)?", r"agpl 3 0"),
     ("fdl-1.3", "documentation", rf"gnu free documentation (?:license|licence){V}1 3", r"gfdl 1 3"),
     ("fdl-1.2", "documentation", rf"gnu free documentation (?:license|licence){V}1 2", r"gfdl 1 2"),
-    ("bsd-0", "bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)", r"0bsd"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", r"bsd 2 clause"),
+    ("bsd-0", "bsd 0bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)", r"0bsd"),
+    ("bsd-2-clause", "bsd freebsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", r"bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", r"bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause"),
     ("mpl-1.0", "mozilla", rf"mozilla public (?:license|licence){V}1 0", r"mpl 1 0"),
@@ -49,7 +50,7 @@ FAMILIES = (
     ("mpl-2.0", "mozilla", rf"mozilla public (?:license|licence){V}2(?: 0)?", r"mpl 2 0"),
     ("epl-1.0", "eclipse", rf"eclipse public (?:license|licence){V}1(?: 0)?", r"epl 1 0"),
     ("epl-2.0", "eclipse", rf"eclipse public (?:license|licence){V}2(?: 0)?", r"epl 2 0"),
-    ("cddl-1.0", "cddl", r"common development and distribution (?:license|licence)|cddl", r"cddl 1 0"),
+    ("cddl-1.0", "cddl common", r"common development and distribution (?:license|licence)|cddl", r"cddl 1 0"),
     ("cpl-1.0", "common", rf"common public (?:license|licence){V}1(?: 0)?", r"cpl 1 0"),
     ("eupl-1.1", "union", rf"european union public (?:license|licence){V}1 1", r"eupl 1 1"),
     ("eupl-1.2", "union", rf"european union public (?:license|licence){V}1 2", r"eupl 1 2"),
@@ -74,7 +75,7 @@ FAMILIES = (
     ("odbl-1.0", "database", r"open database (?:license|licence)", r"odbl 1 0"),
     ("odc-by", "attribution", r"open data commons attribution (?:license|licence)", r"odc by 1 0"),
     ("pddl", "domain", r"public domain dedication (?:and|&) (?:license|licence)", r"pddl 1 0"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?|creative commons zero", r"cc0 1 0"),
+    ("cc0-1.0", "cc0 commons", r"cc0(?: 1 0)?|creative commons zero", r"cc0 1 0"),
     ("bsl-1.1", "business", r"business source (?:license|licence)", r"busl 1 1"),
     ("elastic-2.0", "elastic", r"elastic (?:license|licence)", r"elastic 2 0"),
     ("sspl-1.0", "server", r"server side public (?:license|licence)", r"sspl 1 0"),
@@ -83,7 +84,7 @@ FAMILIES = (
     ("vim", "vim", r"vim (?:license|licence)", r"vim"),
     ("zpl-2.1", "zope", r"zope public (?:license|licence)", r"zpl 2 1"),
     ("w3c", "w3c", r"w3c software notice and (?:license|licence)", r"w3c"),
-    ("beerware", "beer", r"beer ?ware (?:license|licence)", r"beerware"),
+    ("beerware", "beer beerware", r"beer ?ware (?:license|licence)", r"beerware"),
 )
 CC = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?"}
@@ -111,7 +112,7 @@ TEXTS = (
 
 #: No rule can match a text without one of these words.
 GATE = (
-    r"(?i)(?<![A-Za-z0-9])(?:licen[cs]e[ds]?|unlicense|cddl|spdx|cc|commons|permission|redistribut(?:e|ion)|endorse|advertising"
+    r"(?i)(?<![A-Za-z0-9])(?:licen[cs]e(?:[ds]|[0-9]+)?|unlicense|cddl|mulan|spdx|cc|commons|permission|redistribut(?:e|ion)|endorse|advertising"
     r"|compliance|altered|unencumbered|domain|reserved|gnu)(?![A-Za-z0-9])"
 )
 
@@ -119,7 +120,7 @@ SCHEMA = "lic_key string, lic_rule int, lic_label string, lic_re string, lic_sco
 
 
 def rules() -> list[tuple[str, int, str, str, float]]:
-    """(keyword, priority, label, regex, score), earlier rules first; several hundred from the tables above."""
+    """(keywords, priority, label, regex, score), earlier rules first; several hundred from the tables above."""
     out: list[tuple[str, str, str, float]] = []
     out += [(kw, label, rf"spdx license identifier {tag}(?: only| or later)?", 1.0) for label, kw, _, tag in FAMILIES for kw in ("spdx",)]
     out += [("cc", f"cc-{kind.replace(' ', '-')}-{v.replace(' ', '.')}", rf"(?:spdx license identifier )?cc {kind} {v}", 0.95) for kind in reversed(CC) for v in CC_VERSIONS]
@@ -141,13 +142,14 @@ def re_names_license(name: str) -> bool:
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rules(), SCHEMA)
+    """A row for each keyword of each rule."""
+    return spark.createDataFrame([(kw, *rest) for kws, *rest in rules() for kw in kws.split()], SCHEMA)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs but the text (it doesn't travel with the detections), and lic_n_words, lic_base (sorted struct<start,label> of base phrases) and lic_found (struct<start,end,rule,label,score>, suppressed, by start)."""
     kept = [c for c in docs.columns if c != text]
-    gates = sorted({kw for kw, *_ in rules()})
+    gates = sorted({kw for kws, *_ in rules() for kw in kws.split()})
     t = F.coalesce(F.col(text), F.lit(""))
     gate = F.regexp_like(t, F.lit(GATE))
     norm = F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(t), GAP, " ")), F.lit(" "))).otherwise(F.lit(" "))

@@ -120,6 +120,32 @@ def test_licenses(spark):
     assert kept.first().score == 3
 
 
+def one_each(items):
+    """Strings of a parsed regex that take every alternative of it once, others the first."""
+    out = [""]
+    for op, arg in items:
+        own = {"LITERAL": lambda: [chr(arg)], "SUBPATTERN": lambda: one_each(arg[3]), "BRANCH": lambda: [x for b in arg[1] for x in one_each(b)], "MAX_REPEAT": lambda: ["", *one_each(arg[2])], "ASSERT": lambda: [""], "IN": lambda: [chr(x) for _, x in arg]}[str(op)]()
+        out = [out[0] + own[0], *(x + own[0] for x in out[1:]), *(out[0] + x for x in own[1:])]
+    return out
+
+
+def test_license_gates_lose_nothing(spark):
+    """One sentence for each alternative of each rule: the gated scan finds what all rules find ungated."""
+    rules = [(i, label, re.compile(regex)) for _, i, label, regex, _ in license_scan.rules()]
+    said = ["FreeBSD License", "0BSD License", "Beerware License", "Common Development and Distribution License", "Creative Commons Zero License", "GNU Library General Public License version 2", "Mulan PSL", "Apache License2.0"]
+    texts = said + sorted({x.strip() for _, _, r in rules for x in one_each(re._parser.parse(r.pattern))})
+    want = {}
+    for k, text in enumerate(texts):
+        norm, far, want[k] = " " + " ".join(marks(text)) + " ", -1, []
+        for start, end, i, label in sorted(((m.start() + 1, m.end(), i, label) for i, label, r in rules for m in r.finditer(norm)), key=lambda x: (x[0], -x[1], x[2])):
+            if end > far:
+                far = end
+                want[k].append((start, end, i, label))
+    assert all(want[k] for k in range(len(said))) and len(texts) > 1000
+    got = license_scan.scan(documents(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]).select("doc_id", "text")).collect()
+    assert {r.doc_id: [(x.start, x.end, x.rule, x.label) for x in r.lic_found or []] for r in got} == want
+
+
 def test_token_counts(spark):
     e = tokens.Encoder.get(tokens.default_path())
     assert e.drops_space
