@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import match_spans, no_spans
+from tesserae.llm.common import let, match_spans, no_spans
 
 # Possessive quantifiers and the \G-or-not-after test keep the leftmost matches of the plain patterns
 # (nothing that follows could make them give characters back) but take linear time and constant stack
@@ -23,7 +23,24 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Kinds the method adds to the four base ones.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])"  # where one may start; every such place is tried
+#: Characters of an IBAN by country: the registry, and the countries that use one without being in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST AO CV GW MZ", 26: "IS TR DZ IR", 27: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_WIDTH = 48  # more than 34 characters, the spaces between groups of four and one that follows
+
+
+def iban_pattern() -> str:
+    """An IBAN at the start of a string, as long as its country's are; of unlisted codes the longest run of groups."""
+    bounded = [rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()]
+    listed = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    unlisted = rf"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?"
+    return rf"^(?:{'|'.join([*bounded, unlisted])})(?![A-Za-z0-9])"
+
+
 SSN = r"(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9.-])"
 
@@ -81,6 +98,9 @@ def found(text: Column, kind: str) -> Column:
         "local_phone": (LOCAL_PHONE, F.regexp_like(text, F.lit(r"[0-9]{3}[-.][0-9]{4}")), None),
     }[kind]
     spans = F.when(gate, match_spans(text, pattern)).otherwise(no_spans())
+    if kind == "iban":
+        whole = lambda s: F.regexp_extract(F.substr(text, s["start"] + 1, F.lit(IBAN_WIDTH)), iban_pattern(), 0)
+        spans = F.transform(spans, lambda s: let(whole(s), lambda h: F.struct(s["start"].alias("start"), (s["start"] + F.length(h)).alias("end"), h.alias("hit"))))
     return F.filter(spans, lambda s: ok(s["hit"])) if ok else spans
 
 

@@ -66,6 +66,22 @@ def brute_hits(docs, items, n=10):
     return out
 
 
+def test_iban_before_capitals(spark):
+    def valid(country, n):
+        bban = ("7A1B" * 8)[:n - 4]
+        rest = int("".join(str(int(ch, 36)) for ch in bban + country + "00")) % 97
+        return f"{country}{98 - rest:02d}{bban}"
+
+    said = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]
+    ibans = said + [valid(c, n) for n, cs in pii.IBAN_LENGTHS.items() for c in cs.split()]
+    texts = [f"é {i}{tail}" for i in ibans for tail in (" BIC CAIXESBB", " BANK", " A", " 1234", ", x", "")]
+    want = {k: f"iban:2:{2 + len(ibans[k // 6])}" for k in range(len(texts))}
+    texts += ["AT12 3456 7890 DE89 3704 0044 0532 0130 00 BIC", "DE89 3704 0044 0532 0130 00 ES91 2100 0418 4502 0005 1332", "ES91 2100 0418 4502 0005 1333 BIC", "DE89 3704 0044 0532 0130 00X"]
+    want |= dict(enumerate(["iban:15:42", "iban:0:27,iban:28:57", "", ""], len(want)))
+    got = pii.detect(documents(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])).select("doc_id", pii.joined(F.filter("pii_spans", lambda s: s["kind"] == "iban")).alias("got")).collect()
+    assert {r.doc_id: r.got for r in got} == want
+
+
 @pytest.fixture(scope="module")
 def tainted():
     rows = awkward(4)
