@@ -66,6 +66,14 @@ def brute_hits(docs, items, n=10):
     return out
 
 
+def test_pii_context_shows_in_scores(spark):
+    far = "x" * 50
+    texts = ["ssn 123-45-6789", "item 123-45-6789", "call 555-123-4567", "item 555-123-4567", f"tel 555-123-4567 {far} 187-65-4320", "a@b.co", ""]
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.report(documents(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])).collect()}
+    assert [got[k][1] for k in range(len(texts))] == ["0.85", "0.50", "0.85", "0.50", "0.85,0.50", "0.90", ""]
+    assert got[1][0] == "ssn:5:16" and got[4][0].count(":") == 4
+
+
 def test_iban_before_capitals(spark):
     def valid(country, n):
         bban = ("7A1B" * 8)[:n - 4]
