@@ -240,10 +240,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def select_known(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs that get a language; texts pass through the workers once."""
+    """The rows of docs that have a letter, with a model or without one; texts pass through the workers once."""
     schema = docs.schema
     at = docs.columns.index("text")
-    judged = predict(docs.withColumn("li_text", F.col("text")).select(*[F.col("li_text").alias("li_kept") if c == "text" else F.col(c) for c in docs.columns], "text"), model)
+    judged = predict(docs.withColumn("li_text", F.col("text")).select(*[F.col("li_text").alias("li_kept") if c == "text" else F.col(c) for c in docs.columns], "text"), model or Model(["unknown"]))
     return judged.where("lang_pred <> 'und'").select(*[F.col("li_kept").alias("text") if i == at else F.col(c) for i, c in enumerate(schema.names)])
 
 

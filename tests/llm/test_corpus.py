@@ -214,3 +214,11 @@ def test_pipeline(spark, tmp_path):
             n = len(ids)
     assert docs.count() == n and {"doc_id", "shard", "slot"} <= set(docs.columns)
     assert p.run(spark, at).count() == n
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline as p
+
+    docs = documents(spark, [(1, "clean words", None, "a", 11), (2, "123 !!", None, "a", 6), (3, None, None, None, None), (4, "\u00e9", None, "b", 1)])
+    out = p.language_id(spark, docs, "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 4] and out.columns == p.COLUMNS
