@@ -158,7 +158,7 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED) -> Mo
     if not langs:
         return None
     model, rng = Model(langs, seed), np.random.default_rng(seed + 1)
-    own = {lang: sorted({s[:SLICE] for text, l in rows if l == lang for s in (text or "").encode("utf-8", "replace").split()}) for lang in langs}
+    own = {lang: sorted({s[a:a + SLICE] for text, l in rows if l == lang for s in (text or "").encode("utf-8", "replace").split() for a in range(0, len(s), SLICE)}) for lang in langs}
     langs_with = [k for k, lang in enumerate(langs) if own[lang]]
     if len(langs_with) < 2:
         return model
@@ -251,18 +251,26 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4
 
 
+def sampled(text: Column, k: Column, chars: int) -> Column:
+    """At most `chars` characters of a text: all of a short one, else distinct pieces between white space (at most SLICE characters each) from anywhere in it, in the order of their hash with k."""
+    pieces = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{SLICE}}}"), F.lit(0)))
+    order = F.array_sort(F.transform(pieces, lambda p: F.struct(F.xxhash64(p, k).alias("h"), p.alias("p"))))
+    return F.when(F.length(text) <= chars, text).otherwise(F.substring(F.array_join(F.transform(order, lambda x: x["p"]), " "), 1, chars))
+
+
 def train(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model | None:
     """Fit on at most docs_per_lang distinct texts a language that are not held out: those of smallest hash.
 
     An estimate of each language's distinct texts gives a hash bound that leaves about SPARE times as
-    many as are needed, copies are merged before they move, and only those few are ranked.
+    many as are needed, copies are merged before they move, and only those few are ranked. Of each
+    text at most `chars` characters are learned from, wherever they stand.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != HELD_OUT))
-    rows = labelled.select(F.substring("text", 1, chars).alias("text"), "lang", F.xxhash64("text").alias("k"))
+    rows = labelled.select("text", "lang", F.xxhash64("text").alias("k"))
     texts = rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("texts"))
     near = F.pmod(F.col("k"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * SPARE * docs_per_lang / F.col("texts")
     # a row for each language, which is an output unit of the network: small enough to send everywhere
-    rows = rows.join(F.broadcast(texts), "lang").where(near).select("lang", "k", "text")
+    rows = rows.join(F.broadcast(texts), "lang").where(near).select("lang", "k", sampled(F.col("text"), F.col("k"), chars).alias("text"))
     rows = rows.groupBy("lang", "k").agg(F.min("text").alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
     picked = rows.withColumn("r", first).where(F.col("r") <= docs_per_lang).select("text", "lang").collect()

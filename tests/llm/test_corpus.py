@@ -176,6 +176,22 @@ def test_language(spark):
     assert langid.report(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_learns_past_the_head(spark):
+    head = "lorem ipsum dolor " * 80
+    own = {"p": "abcd", "q": "wxyz"}
+    rng = np.random.default_rng(0)
+    word = lambda lang: "".join(rng.choice(list(own[lang]), 6))
+    rows = [(k, head + " ".join(word(lang) for _ in range(40)), lang, None, None) for k in range(60) for lang in [list(own)[k % 2]]]
+    model = langid.train(documents(spark, rows))
+    tests = documents(spark, [(k, " ".join(word(lang) for _ in range(20)), lang, None, None) for k in range(20) for lang in [list(own)[k % 2]]])
+    assert all(r.lang_pred == r.lang and r.score > 0.8 for r in langid.predict(tests, model).collect())
+    cut = documents(spark, rows).select("text", langid.sampled(F.col("text"), F.xxhash64("text"), 100).alias("s")).collect()
+    assert all(len(r.s) <= 100 and len(set(r.s.split()[:-1]) - set(head.split())) > 5 and set(r.s.split()[:-1]) <= set(r.text.split()) for r in cut)
+    # scripts without spaces: what comes after the first slice of a run is learned from
+    model = langid.fit([("m" * langid.SLICE + word("p") * 40, "p"), ("m" * langid.SLICE + word("q") * 40, "q")])
+    assert model.sums([word("p").encode(), word("q").encode()]).argmax(1).tolist() == [0, 1]
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against brute force over what its predecessor kept, and the whole run."""
     import corpus_pipeline as p
