@@ -1,14 +1,15 @@
 """Token counts by overlap resynchronisation.
 
 A text of up to CHUNK characters is encoded by the tokenizer at once. A longer one is encoded in
-overlapping chunks with offsets; two neighbours are spliced at a position inside their overlap where
+overlapping chunks with offsets, if the tokenizer drops white space; two neighbours are spliced at a position inside their overlap where
 both start a token, white space stands before it (pre-tokenizers that drop white space never join
 text across it, so what follows depends only on what follows), and both agree on the next AGREE
 tokens. Where there is no such position the overlap doubles, if need be to the end of the text. So
 memory for encodings is bounded by the chunk wherever the text has spaces.
 
 For a tokenizer that drops white space, counts add up over the pieces between ASCII white space, so
-texts of ordinary length look their pieces up in a worker's memory and encode only new ones.
+texts of ordinary length look their pieces up in a worker's memory and encode only new ones. For any
+other tokenizer (every .model file too) texts of all lengths are encoded whole, without that bound.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows get equal results;
 lone surrogates, which no Parquet string can hold, are replaced.
