@@ -1,21 +1,23 @@
 """License scans: ordered signature rules gated by keywords, with priority and containment suppression.
 
 Texts are first brought to single-spaced lower-case words. A document that holds none of the gate
-keywords is done. Others meet, keyword by keyword, the rules filed under that keyword (a broadcast
-equi-join; the rule table's size is fixed by this module). A rule is filed under a keyword for each
-of its alternatives, so that every match holds one; what meets it twice is found once. Detections become intervals; an interval
-is suppressed by a longer one that contains it, or by an equal one of higher priority (listed earlier).
+words is done. In others the rules filed under each keyword found are tried, a pattern compiled once
+for a task; a rule is filed under a keyword for each of its alternatives, so that every match holds
+one. Detections become intervals; an interval is suppressed by a longer one that contains it, or by
+an equal one of higher priority (listed earlier). It is all one projection: rows stay where they are.
 
 Defined results: null and empty texts have no words and no detections; repeated rows are judged one
-by one; columns added by `scan` are prefixed `lic_`.
+by one; an empty table gives an empty one; of equal intervals the rule listed first stays; very long
+texts and texts with many thousand detections take time in proportion to their length; columns added
+by `scan` are prefixed `lic_`, so others may have any other name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import MARKS, ascii_lower, count_words, match_spans
+from tesserae.llm.common import CHUNK, MARKS, ascii_lower, count_words, let, match_spans
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -108,17 +110,117 @@ TEXTS = (
     ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public (?:license|licence)"),
     ("gpl-3.0", "gnu", r"gnu gpl ?v?3"),
     ("gpl-2.0", "gnu", r"gnu gpl ?v?2"),
+    ("mit", "permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("ncsa", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("mit", "warranty", r"the software is provided as is without warranty of any kind express or implied"),
+    ("isc", "permission", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "warranties", r"the software is provided as is and the author disclaims all warranties"),
+    ("isc", "permission", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("ntp", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("hpnd", "permission", r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("postgresql", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("tcl", "permission", r"the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose"),
+    ("fdl", "permission", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation (?:license|licence)"),
+    ("fsf-all-permissive", "permission", r"copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this permission notice|copying with this permission notice"),
+    ("gpl-exception", "permission", r"as a special exception the copyright holders of this (?:library|program) give you permission to link"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("sleepycat", "redistributions", r"redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("bsd-3-clause", "copyright", r"neither the name of the copyright holder nor the names of its contributors"),
+    ("bsd-3-clause", "regents", r"neither the name of the university nor the names of its contributors may be used by the regents|the regents of the university of california all rights"),
+    ("bsd", "warranties", r"this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("x11", "advertising", r"shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("apache-2.0", "license", r"software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache-2.0", "apache", r"apache org licenses license 2 0"),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation"),
+    ("apache", "asf", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("gpl", "redistribute", r"this program is free software you can redistribute it"),
+    ("lgpl", "redistribute", r"this library is free software you can redistribute it"),
+    ("gpl-2.0-or-later", "license", r"either version 2 of the license or at your option any later version"),
+    ("gpl-3.0-or-later", "license", r"either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", "license", r"either version 2 1 of the license or at your option any later version"),
+    ("gpl", "gnu", r"you should have received a copy of the gnu general public (?:license|licence)"),
+    ("lgpl", "gnu", r"you should have received a copy of the gnu (?:lesser|library) general public (?:license|licence)"),
+    ("agpl", "gnu", r"you should have received a copy of the gnu affero general public (?:license|licence)"),
+    ("gpl", "gnu", r"gnu org licenses (?:old licenses )?gpl"),
+    ("lgpl", "gnu", r"gnu org licenses (?:old licenses )?lgpl"),
+    ("agpl", "gnu", r"gnu org licenses agpl"),
+    ("gpl-classpath", "gnu", r"gnu classpath exception|gpl with the gnu classpath"),
+    ("mpl", "mozilla", r"the contents of this file are subject to the mozilla public (?:license|licence)"),
+    ("mpl-2.0", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "eclipse", r"made available under the terms of the eclipse public (?:license|licence)"),
+    ("cddl-1.0", "common", r"subject to the terms of the common development and distribution (?:license|licence)"),
+    ("boost-1.0", "boost", r"distributed under the boost software (?:license|licence)"),
+    ("zlib", "warranty", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("unlicense", "compile", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", "copyright", r"in jurisdictions that recognize copyright laws the author or authors of this software dedicate"),
+    ("wtfpl", "fuck", r"do what the fuck you want to"),
+    ("cc0-1.0", "copyright", r"waived all copyright and related or neighboring rights"),
+    ("cc-by", "commons", r"this work is licensed under a creative commons attribution"),
+    ("commons-clause", "commons", r"commons clause (?:license|licence) condition"),
+    ("ofl-1.1", "font", r"this font software is licensed under the sil open font (?:license|licence)"),
+    ("perl", "perl", r"(?:under )?the same terms as perl itself"),
+    ("python-2.0", "python", r"psf license agreement for python"),
+    ("php-3.01", "php", r"this product includes php software freely available from"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("ssleay", "cryptographic", r"this product includes cryptographic software written by eric young"),
+    ("ijg", "jpeg", r"based in part on the work of the independent jpeg group"),
+    ("ftl", "freetype", r"(?:copyright )?the freetype project"),
+    ("ms-pl", "governs", r"this license governs use of the accompanying software"),
+    ("bsl-1.1", "licensor", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic-2.0", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("sspl-1.0", "functionality", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("upl-1.0", "universal", r"the universal permissive (?:license|licence) upl"),
+    ("beerware", "stuff", r"you can do whatever you want with this stuff"),
+    ("json", "evil", r"shall be used for good not evil"),
+    ("ruby", "redistribute", r"you can redistribute it and or modify it under either the terms of"),
+    ("vim", "charityware", r"vim is charityware"),
+    ("zpl-2.1", "zope", r"this software consists of contributions made by zope corporation"),
+    ("eupl", "eupl", r"licensed under the eupl"),
+    ("infozip", "zip", r"info zip (?:license|licence)"),
+    ("icu", "icu", r"icu (?:license|licence)"),
+    ("unicode", "unicode", r"unicode (?:inc )?(?:license|licence) agreement"),
+    ("ipl-1.0", "ibm", r"ibm public (?:license|licence)"),
+    ("spl-1.0", "sun", r"sun public (?:license|licence)"),
+    ("npl-1.1", "netscape", r"netscape public (?:license|licence)"),
+    ("nokia", "nokia", r"nokia open source (?:license|licence)"),
+    ("intel", "intel", r"intel open source (?:license|licence)"),
+    ("qpl-1.0", "q qt", r"q public (?:license|licence)|qt public (?:license|licence)"),
+    ("lpl-1.02", "lucent", r"lucent public (?:license|licence)"),
+    ("rpl-1.5", "reciprocal", r"reciprocal public (?:license|licence)"),
+    ("apsl-2.0", "apple", r"apple public source (?:license|licence)"),
+    ("cpal-1.0", "attribution", r"common public attribution (?:license|licence)"),
+    ("ecl-2.0", "educational", r"educational community (?:license|licence)"),
+    ("efl-2.0", "eiffel", r"eiffel forum (?:license|licence)"),
+    ("fair", "fair", r"fair (?:license|licence)"),
+    ("frameworx-1.0", "frameworx", r"frameworx (?:open )?(?:license|licence)"),
+    ("nasa-1.3", "nasa", r"nasa open source agreement"),
+    ("ngpl", "nethack", r"nethack general public (?:license|licence)"),
+    ("naumen", "naumen", r"naumen public (?:license|licence)"),
+    ("rscpl", "ricoh", r"ricoh source code public (?:license|licence)"),
+    ("rpsl-1.0", "realnetworks", r"realnetworks public source (?:license|licence)"),
+    ("simpl-2.0", "simple", r"simple public (?:license|licence)"),
+    ("vsl-1.0", "vovida", r"vovida software (?:license|licence)"),
+    ("wxwindows", "wxwindows", r"wxwindows (?:library )?(?:license|licence)"),
+    ("watcom-1.0", "watcom", r"sybase open watcom public (?:license|licence)|watcom public (?:license|licence)"),
+    ("xfree86-1.1", "xfree86", r"xfree86 (?:license|licence)"),
+    ("zend-2.0", "zend", r"zend (?:engine )?(?:license|licence)"),
+    ("cecill", "cecill", r"cecill(?: free software)? (?:license|licence)(?: agreement)?"),
+    ("openldap", "openldap", r"openldap public (?:license|licence)"),
+    ("proprietary", "confidential", r"confidential and proprietary|proprietary and confidential"),
+    ("proprietary", "prohibited", r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "eula", r"end user (?:license|licence) agreement eula"),
 )
 
 #: No rule can match a text without one of these words.
 GATE = (
     r"(?i)(?<![A-Za-z0-9])(?:licen[cs]e(?:[ds]|[0-9]+)?|unlicense|cddl|mulan|spdx|cc|commons|permission|redistribut(?:e|ion)|endorse|advertising"
-    r"|compliance|altered|unencumbered|domain|reserved|gnu)(?![A-Za-z0-9])"
+    r"|compliance|altered|apache|unencumbered|domain|reserved|gnu|redistributions|warrant(?:y|ies)|copyright|regents|asf|mpl|misrepresented|compile|fuck|perl|php|openssl"
+    r"|cryptographic|jpeg|freetype|governs|licensor|hosted|functionality|stuff|evil|charityware|zope|eupl|nasa|confidential|prohibited|eula)(?![A-Za-z0-9])"
 )
 
-SCHEMA = "lic_key string, lic_rule int, lic_label string, lic_re string, lic_score double"
-
-
 def rules() -> list[tuple[str, int, str, str, float]]:
     """(keywords, priority, label, regex, score), earlier rules first; several hundred from the tables above."""
     out: list[tuple[str, str, str, float]] = []
@@ -141,61 +243,81 @@ def re_names_license(name: str) -> bool:
     return "licen" in name
 
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    """A row for each keyword of each rule."""
-    return spark.createDataFrame([(kw, *rest) for kws, *rest in rules() for kw in kws.split()], SCHEMA)
+FOUND = "array<struct<start:int,end:int,rule:int,label:string,score:double>>"
+
+
+def detections(norm: Column) -> Column:
+    """What the rules find in ' w0 w1 ... ', gated by keyword and not yet suppressed."""
+    table = rules()
+    by: dict[str, list[tuple[int, str]]] = {}
+    for kws, i, _, regex, _ in table:
+        for kw in kws.split():
+            by.setdefault(kw, []).append((i, regex))
+    pick = lambda k, i: F.get(F.array(*[F.lit(r[k]) for r in table]), i)
+
+    def tried(n: Column, words: Column) -> Column:
+        none = F.expr("cast(array() as array<int>)")
+        own = lambda rs: F.array(*[F.when(F.regexp_like(n, F.lit(regex)), F.lit(i)) for i, regex in rs])
+        met = let(F.array_intersect(words, F.array(*[F.lit(k) for k in sorted(by)])), lambda keys: F.flatten(F.array(*[F.when(F.array_contains(keys, k), own(by[k])).otherwise(none) for k in sorted(by)])))
+        return F.array_distinct(F.array_compact(met))
+
+    def places(n: Column, i: Column) -> Column:
+        row = lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end"), i.alias("rule"), pick(2, i).alias("label"), pick(4, i).alias("score"))
+        return F.transform(match_spans(n, pick(3, i)), row)
+
+    # inside lambdas, so that hundreds of patterns don't become generated code
+    return let(norm, lambda n: F.flatten(F.transform(tried(n, F.split(n, " ")), lambda i: places(n, i))))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of docs but the text (it doesn't travel with the detections), and lic_n_words, lic_base (sorted struct<start,label> of base phrases) and lic_found (struct<start,end,rule,label,score>, suppressed, by start)."""
+    """The columns of docs but the text, and lic_n_words, lic_base (sorted struct<start,label> of base phrases) and lic_found (struct<start,end,rule,label,score>, suppressed, by start)."""
     kept = [c for c in docs.columns if c != text]
-    gates = sorted({kw for kws, *_ in rules() for kw in kws.split()})
     t = F.coalesce(F.col(text), F.lit(""))
-    gate = F.regexp_like(t, F.lit(GATE))
-    norm = F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(t), GAP, " ")), F.lit(" "))).otherwise(F.lit(" "))
-    src = docs.select(F.monotonically_increasing_id().alias("lic_row"), F.struct(F.lit(0).alias("lic_"), *kept).alias("lic_keep"), count_words(t, MARKS).alias("lic_n_words"), norm.alias("lic_norm"))
-    # a lambda over a literal list: fifty inlined tests make generated code whose compilation takes gigabytes
-    keys = F.filter(F.array(*[F.lit(g) for g in gates]), lambda k: F.contains(F.col("lic_norm"), F.concat(F.lit(" "), k, F.lit(" "))))
-    keys = F.when(F.length("lic_norm") > 1, keys).otherwise(F.expr("cast(array() as array<string>)"))
-    src = src.withColumn("lic_keys", keys)
-    labelled = lambda phrase, label: F.transform(phrase_starts(F.col("lic_norm"), phrase), lambda s: F.struct(s.alias("start"), F.lit(label).alias("label")))
-    bases = F.flatten(F.array(*[labelled(p, label) for p, label in PHRASES]))
+    norm = F.when(F.regexp_like(t, F.lit(GATE)), F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(t), GAP, " ")), F.lit(" "))).otherwise(F.lit(" "))
+    src = docs.select(*kept, count_words(t, MARKS).alias("lic_n_words"), norm.alias("lic_norm"))
+    gated = F.length("lic_norm") > 1
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
-    src = src.withColumn("lic_base", F.when(F.contains("lic_norm", F.lit(" license ")), F.array_sort(bases)).otherwise(none))
-    # one row for each document, and one more for each gate keyword in it; only the latter carry words
-    rows = src.select("lic_row", F.explode(F.concat(F.array(F.lit("")), "lic_keys")).alias("lic_key"), "lic_keep", "lic_n_words", "lic_base", "lic_norm")
-    first = F.col("lic_key") == ""
-    rows = rows.select("lic_row", "lic_key", F.when(first, F.col("lic_keep")).alias("lic_keep"), F.when(first, F.col("lic_n_words")).alias("lic_n_words"), F.when(first, F.col("lic_base")).alias("lic_base"), F.when(~first, F.col("lic_norm")).alias("lic_norm"))
-    met = rows.join(F.broadcast(rule_table(docs.sparkSession)), "lic_key", "left")
-    spans = F.when(F.col("lic_re").isNotNull() & F.regexp_like("lic_norm", F.col("lic_re")), F.col("lic_norm"))
-    met = met.withColumn("lic_hit", spans)
-    places = F.transform(match_spans(F.col("lic_hit"), F.col("lic_re")), lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end"), F.col("lic_rule").alias("rule"), F.col("lic_label").alias("label"), F.col("lic_score").alias("score")))
-    met = met.select("lic_row", "lic_keep", "lic_n_words", "lic_base", F.when(F.col("lic_hit").isNotNull(), places).alias("lic_places"))
-    out = met.groupBy("lic_row").agg(
-        F.first("lic_keep", True).alias("lic_keep"), F.first("lic_n_words", True).alias("lic_n_words"), F.first("lic_base", True).alias("lic_base"),
-        F.array_sort(F.flatten(F.collect_list("lic_places"))).alias("lic_all"),
-    )
-    return out.select(*[F.col("lic_keep")[c].alias(c) for c in kept], "lic_n_words", "lic_base", unsuppressed(F.col("lic_all")).alias("lic_found"))
+    base = F.when(F.contains("lic_norm", F.lit(" license ")), let(F.split(F.trim("lic_norm"), " "), phrases)).otherwise(none)
+    return src.select(*kept, "lic_n_words", base.alias("lic_base"), F.when(gated, unsuppressed(detections(F.col("lic_norm")))).otherwise(F.expr(f"cast(array() as {FOUND})")).alias("lic_found"))
+
+
+def phrases(words: Column) -> Column:
+    """Word numbers, from 0, and labels of the base phrases, sorted."""
+
+    def at(phrase: str, label: str) -> Column:
+        def here(x: Column, i: Column) -> Column:
+            ok = F.lit(True)
+            for k, p in enumerate(phrase.split()):
+                ok = ok & ((x if k == 0 else F.coalesce(F.get(words, i + k), F.lit(""))) == p)
+            return F.when(ok, F.struct(i.alias("start"), F.lit(label).alias("label")))
+
+        return F.array_compact(F.transform(words, here))
+
+    return F.array_sort(F.flatten(F.array(*[at(p, label) for p, label in PHRASES])))
 
 
 def unsuppressed(found: Column) -> Column:
-    """Drop what an earlier interval of (start, end descending, rule) contains: it reaches as far or farther."""
+    """Drop what an earlier interval of (start, end descending, rule) contains: it reaches as far or farther.
+
+    In chunks, as appending to one array takes quadratic time.
+    """
     order = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("neg"), x["rule"].alias("rule"), x["label"].alias("label"), x["score"].alias("score"))))
-    kept = F.expr("cast(array() as array<struct<start:int,end:int,rule:int,label:string,score:double>>)")
-    zero = F.struct(F.lit(-1).alias("far"), kept.alias("out"))
+    split = lambda o: F.when(F.size(o) > 0, F.transform(F.sequence(F.lit(0), F.size(o) - 1, F.lit(CHUNK)), lambda i: F.slice(o, i + 1, F.lit(CHUNK))))
 
     def step(a: Column, x: Column) -> Column:
         one = F.struct(x["start"].alias("start"), (-x["neg"]).alias("end"), x["rule"].alias("rule"), x["label"].alias("label"), x["score"].alias("score"))
         new = -x["neg"] > a["far"]
         return F.struct(F.greatest(a["far"], -x["neg"]).alias("far"), F.when(new, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(order, zero, step, lambda a: a["out"])
+    def kept(chunk: Column, far: Column) -> Column:
+        return F.aggregate(chunk, F.struct(far.alias("far"), F.expr(f"cast(array() as {FOUND})").alias("out")), step, lambda a: a["out"])
 
+    def walk(chunks: Column) -> Column:
+        tops = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda x: -x["neg"])))
+        before = F.aggregate(tops, F.array(F.lit(-1)), lambda a, n: F.concat(a, F.array(F.greatest(F.element_at(a, -1), n))))
+        return F.flatten(F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), kept))
 
-def phrase_starts(norm: Column, phrase: str) -> Column:
-    """Word numbers, from 0, where a phrase stands; norm is ' w0 w1 ... '. Phrases that overlap themselves don't occur here."""
-    at = match_spans(norm, rf"(?<= ){phrase}(?= )")
-    return F.transform(at, lambda s: F.length(F.regexp_replace(F.substr(norm, F.lit(1), s["start"]), "[^ ]+", "")) - 1)
+    return F.coalesce(let(order, lambda o: let(split(o), walk)), F.expr(f"cast(array() as {FOUND})"))
 
 
 def report(docs: DataFrame) -> DataFrame:
