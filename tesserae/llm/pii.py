@@ -2,9 +2,10 @@
 
 Everything is a DataFrame expression. Spans are in code points, end exclusive.
 
-Defined results: a null text counts as empty (no spans); repeated rows give repeated results; other
-columns of the input are kept by `detect` and never read, whatever their names (`pii_*` columns it
-adds win over columns of the same name).
+Defined results: a null text counts as empty (no spans); repeated rows give repeated results; an
+empty table gives an empty one; spans that start together stand in the order of KINDS; very long
+texts take time in proportion to their length; other columns of the input are kept by `detect` and
+never read, whatever their names (`pii_*` columns it adds win over columns of the same name).
 """
 
 from __future__ import annotations
@@ -45,8 +46,19 @@ SSN = r"(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}
 LOCAL_PHONE = r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9.-])"
 
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
+#: Credentials that their own form gives away: cloud and service keys, signed web tokens, private key blocks.
+CREDENTIAL = (
+    r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[0-9A-Za-z_-]{35}|xox[abprs]-[0-9A-Za-z-]{10,200}"
+    r"|eyJ[A-Za-z0-9_-]{8,2000}+\.[A-Za-z0-9_-]{8,2000}+\.[A-Za-z0-9_-]{8,2000}+)(?![A-Za-z0-9_])|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+)
+CREDENTIAL_GATE = r"AKIA|ASIA|gh[pousr]_|AIza|xox[abprs]-|eyJ|PRIVATE KEY-----"
+# A value that is assigned to a telling name; entropy then tells it from a word of prose.
+ASSIGNED = r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|(?:api|access|secret|private|auth)[_-]?(?:key|token))[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?"
+SECRET = ASSIGNED + r"[A-Za-z0-9_.~+/=@!#$%^&*-]{8,200}"
+ENTROPY = 2.5  # bits a character
+
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "local_phone")
+KINDS = (*BASE, "iban", "ssn", "local_phone", "credential", "secret")
 
 #: kind -> (score on its own, words that raise it when they stand near)
 CONTEXT = {
@@ -57,6 +69,8 @@ CONTEXT = {
     "iban": (0.9, ("iban", "account", "bank", "konto", "cuenta", "compte")),
     "ssn": (0.5, ("ssn", "social", "security", "taxpayer")),
     "local_phone": (0.5, ("phone", "tel", "call", "mobile", "fax")),
+    "credential": (0.9, ("key", "aws", "token", "credentials", "access")),
+    "secret": (0.7, ("login", "user", "username", "credentials", "auth", "account")),
 }
 WINDOW, BOOST, KEEP = 40, 0.35, 0.5
 
@@ -85,6 +99,17 @@ def mod97(hit: Column) -> Column:
     return F.aggregate(F.split(number, ""), F.lit(0), lambda acc, ch: F.when(ch == "", acc).otherwise((acc * 10 + ch.cast("int")) % 97)) == 1
 
 
+def entropy(s: Column) -> Column:
+    """Bits a character of a short string."""
+    share = lambda c: F.size(F.filter(F.split(s, ""), lambda x: x == c)) / F.length(s)
+    return F.aggregate(F.array_distinct(F.filter(F.split(s, ""), lambda x: x != "")), F.lit(0.0), lambda a, c: let(share(c), lambda p: a - p * F.log2(p)))
+
+
+def telling(s: Column) -> Column:
+    """Whether an assigned value looks made and not written: letters and digits, and of high entropy."""
+    return F.regexp_like(s, F.lit("[0-9]")) & F.regexp_like(s, F.lit("[A-Za-z]")) & (entropy(s) >= ENTROPY)
+
+
 def found(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind: array<struct<start,end,hit>>."""
     has_digit = F.regexp_like(text, F.lit("[0-9]"))
@@ -96,8 +121,13 @@ def found(text: Column, kind: str) -> Column:
         "iban": (IBAN, F.regexp_like(text, F.lit(r"[A-Z]{2}[0-9]{2}")), lambda h: F.length(F.regexp_replace(h, " ", "")).between(15, 34) & mod97(h)),
         "ssn": (SSN, F.regexp_like(text, F.lit(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")), None),
         "local_phone": (LOCAL_PHONE, F.regexp_like(text, F.lit(r"[0-9]{3}[-.][0-9]{4}")), None),
+        "credential": (CREDENTIAL, F.regexp_like(text, F.lit(CREDENTIAL_GATE)), None),
+        "secret": (SECRET, F.regexp_like(text, F.lit(ASSIGNED)), telling),
     }[kind]
     spans = F.when(gate, match_spans(text, pattern)).otherwise(no_spans())
+    if kind == "secret":  # the span is the value alone
+        value = lambda h: F.regexp_replace(h, "^" + ASSIGNED, "")
+        spans = F.transform(spans, lambda s: let(value(s["hit"]), lambda v: F.struct((s["end"] - F.length(v)).alias("start"), s["end"].alias("end"), v.alias("hit"))))
     if kind == "iban":
         whole = lambda s: F.regexp_extract(F.substr(text, s["start"] + 1, F.lit(IBAN_WIDTH)), iban_pattern(), 0)
         spans = F.transform(spans, lambda s: let(whole(s), lambda h: F.struct(s["start"].alias("start"), (s["start"] + F.length(h)).alias("end"), h.alias("hit"))))
@@ -155,8 +185,9 @@ def joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The columns of op4; `scores` has the score of each of `spans`, in their order."""
+    """The columns of op4; `scores` has the score of each of `spans`, in their order, n_secret credentials and secrets, n_spans all."""
     df = detect(docs.select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s["k"] < len(BASE))
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return df.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), F.array_join(F.transform("pii_spans", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"))
+    secrets = F.size(F.filter("pii_spans", lambda s: s["kind"].isin("credential", "secret"))).cast("long").alias("n_secret")
+    return df.select("doc_id", *[count(k) for k in BASE], secrets, F.size("pii_spans").cast("long").alias("n_spans"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), F.array_join(F.transform("pii_spans", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"))
