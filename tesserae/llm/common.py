@@ -16,8 +16,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 MAX_ROUNDS = 64
 
 
+#: What one Arrow batch may hold: 8 MB where the session leaves the default of 64 MB, of which Python holds several copies.
+ARROW_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where the session was started without it on their path."""
+    """Let Python workers import this package where the session was started without it on their path, and bound Arrow batches."""
+    if spark.conf.get(ARROW_BYTES, DEFAULT_BYTES) == DEFAULT_BYTES:
+        spark.conf.set(ARROW_BYTES, "8m")
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")) if p]
     if ROOT not in os.pathsep.join(paths).split(os.pathsep):
@@ -54,6 +60,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this code made in shared storage."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame) -> bool:
+    """Whether Spark would broadcast a table by its size on disk."""
+    most = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -132,30 +151,61 @@ def no_spans() -> Column:
     return F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
 
 
+#: Keys with more than this share of a table's rows (fewer than 1 / HOT_SHARE, so) are joined apart.
+HOT_SHARE, HOT_ROWS = 1 / 1000, 128
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right (one row for each key at most), "inner" or "left", without bringing a hot key into one task.
+
+    left is counted here, so it should be a stored table. Its hot keys, at most 1 / HOT_SHARE by
+    definition, meet a broadcast of their rows of right; all other keys are shuffled; rows without a
+    key meet nothing.
+    """
+    rest = left.where(F.col(key).isNotNull())
+    counts = rest.groupBy(key).agg(F.count(F.lit(1)).alias("sj_n"))
+    total, top = counts.agg(F.sum("sj_n"), F.max("sj_n")).first()
+    most = max(HOT_ROWS, int((total or 0) * HOT_SHARE))
+    hot = [r[0] for r in counts.where(F.col("sj_n") > most).select(key).collect()] if (top or 0) > most else []
+    parts = [rest]
+    if hot:
+        at = F.col(key).isin(hot)
+        parts = [rest.where(~at)]
+    out = parts[0].join(right, key, how)
+    if hot:
+        out = out.unionByName(rest.where(at).join(F.broadcast(right.where(at)), key, how))
+    if how == "left":
+        added = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
+        out = out.unionByName(left.where(F.col(key).isNull()).select("*", *added))
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star contraction.
 
     edges: columns a, b (long), any direction, repeats allowed. Returns (id, component) for every
     vertex that has a link to another; component is the smallest id reachable. All steps are
-    aggregates and equi-joins (a hot centre is split by adaptive skew joins); nothing is collected
-    but two numbers a round.
+    aggregates and equi-joins; those by centre, which may be hot, go through `spread_join` (a large
+    star leaves a vertex but one link for each least vertex around it, so the small star has no hot
+    key); nothing is collected but some numbers a round and the few hot centres.
     """
     spark = edges.sparkSession
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def least(e: DataFrame, key: str) -> DataFrame:
+        return e.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", key)
+
     # every edge is kept as a > b
     e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(e)
     if not seen[0]:
         return spark.createDataFrame([], "id long, component long")
     for _ in range(MAX_ROUNDS):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # large star: what is above b moves to the least that b knows; small star: all that a knows moves to the least of it
+        large = checkpoint(spread_join(e, least(e, "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        small = large.join(least(large, "a"), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         e = checkpoint(small)
         now = mark(e)
         if now == seen:

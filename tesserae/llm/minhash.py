@@ -6,19 +6,21 @@
    a second with probability 1/similarity - 1, and a document goes on to the child named by its own
    minwise value there, so that a pair at the threshold meets in 1 child on average or more. Nodes
    of up to LEAF documents are compared exhaustively by signature; larger ones branch on, up to
-   DEPTH levels. What is still large then (copies of one text, mostly) is compared in full as well,
-   in blocks of BLOCK documents, so nothing is capped.
+   DEPTH levels. What is still large then (copies of one text, mostly) is connected in blocks of
+   BLOCK documents (`cells.connect`), so nothing is capped.
 3. Signature matches, with a margin for the sketch's error, join documents into candidate groups.
-   Only their texts are read again; in each group links are confirmed on the full shingle sets, all
-   pairs but those already connected.
+   Only their texts are read again, once; in each group links are confirmed on the full shingle
+   sets, all pairs but those already connected, large groups in blocks again.
 4. Links are contracted to components by star contraction.
 
 A pair at the threshold is missed by one tree with a probability of 0.13 (leaf at depth 1) to 0.4
 (depth 4), by all with at most 0.4 ** TREES.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; a text with
-fewer words than a shingle has one element, the whole sequence; rows with a null id link with
-nothing; rows that repeat an id count as one document that holds the links of each.
+fewer words than a shingle has one element, the whole sequence; very long texts are hashed as a
+whole, in arrays of their own; rows with a null id link with nothing; rows that repeat an id count
+as one document that holds the links of each; of equal or tied documents the smallest id stands for
+the group; an empty table gives an empty one; other columns, of whatever name, are never read.
 """
 
 from __future__ import annotations
@@ -27,19 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.cells import link_all, map_cells
-from tesserae.llm.common import checkpoint, components, stored
+from tesserae.llm.cells import connect
+from tesserae.llm.common import checkpoint, components, small, spread_join, stored
 
-SIGNATURE, TREES, DEPTH, LEAF, BLOCK = 128, 6, 4, 128, 8192
-#: Texts of a candidate group that one task compares; groups with more bytes are compared block against block.
-BLOCK_BYTES = 16 << 20
+SIGNATURE, TREES, DEPTH, LEAF, BLOCK = 128, 6, 4, 128, 1024
+#: Bytes of shingle sets of a candidate group that one task compares; groups with more are connected in blocks.
+BLOCK_BYTES = 8 << 20
+#: Bytes of text hashed together.
+GATHER = 1 << 18
 SPREAD = 3.5  # standard deviations of the sketch's error that still make a candidate
 M1, M2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-CACHE = 1_000_000
 
 
 def fmix(x: np.ndarray) -> np.ndarray:
@@ -51,30 +55,87 @@ def fmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Hashes(dict):
-    """word -> 64-bit hash, forgotten when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = Hashes()
+def byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Whether a byte is white space, and its random number (0 for white space; equal for A-Z and a-z)."""
+    space = np.zeros(256, dtype=bool)
+    space[[32, *range(9, 14)]] = True
+    value = np.random.default_rng(11).integers(1, 1 << 64, 256, dtype=np.uint64)
+    value[65:91] = value[97:123]
+    value[space] = 0
+    return space, value
+
+
+SPACE, VALUE = byte_tables()
+BASE = np.uint64(0x2545F4914F6CDD1D)
+
+
+def powers(n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n - 1, 0), BASE, dtype=np.uint64))])
+
+
+def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts that stand in data one after another (text k begins at begins[k]), and where each word starts."""
+    space = SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    begins = begins[begins < len(data)]
+    first[begins] = ~space[begins]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    run = np.diff(np.append(starts, len(data)))  # a word and the white space after it, which adds nothing
+    power = powers(int(run.max()))
+    out = np.empty(len(starts), dtype=np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), GATHER)), len(starts)))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own, end = starts[a:b], starts[a] + run[a:b].sum()
+        place = np.arange(starts[a], end) - np.repeat(own, run[a:b])
+        out[a:b] = np.add.reduceat(VALUE[data[starts[a]:end]] * power[place], own - starts[a])
+    return fmix(out), starts
+
+
+def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the k-word shingles of each text; text i is data[ends[i-1]:ends[i]]."""
+    h, starts = word_hashes(data, np.concatenate([[0], ends[:-1]]).astype(np.int64))
+    upto = np.searchsorted(starts, ends, side="left")
+    out = np.full(max(0, len(h) - k + 1), k, dtype=np.uint64) * STEP
+    for j in range(k if len(out) else 0):
+        out = (out + h[j:len(h) - k + 1 + j]) * M1
+    out = fmix(out)
+    sets = []
+    for a, b in zip(np.concatenate([[0], upto[:-1]]).tolist(), upto.tolist(), strict=True):
+        if b - a >= k:
+            own = np.sort(out[a:b - k + 1])
+            sets.append(own[np.append(True, own[1:] != own[:-1])])
+        elif b > a:  # fewer words than a shingle: the whole sequence
+            one = np.full(1, b - a, dtype=np.uint64) * STEP
+            for x in h[a:b]:
+                one = (one + x) * M1
+            sets.append(fmix(one))
+        else:
+            sets.append(np.zeros(0, dtype=np.uint64))
+    return sets
+
+
+def sets_of(text: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets of the rows from there on), about GATHER bytes of text at a time; null counts as empty."""
+    text = text.fill_null("")
+    start = 0
+    width = pa.compute.binary_length(text).to_numpy()
+    upto = np.cumsum(width)
+    while start < len(text):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + GATHER, side="right")))
+        own = text.slice(start, end - start)
+        kind, size = (np.int64, 8) if pa.types.is_large_string(own.type) else (np.int32, 4)
+        at = np.frombuffer(own.buffers()[1], kind, len(own) + 1, own.offset * size).astype(np.int64)
+        data = np.frombuffer(own.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+        yield start, shingle_sets(data, at[1:] - at[0], k)
+        start = end
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = min(k, len(words))
-    out = np.full(len(words) - n + 1, n, dtype=np.uint64) * STEP
-    for j in range(n):
-        out = (out + h[j:len(h) - n + 1 + j]) * M1
-    return np.unique(fmix(out))
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return shingle_sets(np.frombuffer(data, np.uint8), np.array([len(data)]), k)[0]
 
 
 def coordinates(seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -104,14 +165,12 @@ def features(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
+            for at, sets in sets_of(whole.column(1), k):
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full)) if full else iter(())
                 yield pa.record_batch({
-                    "doc_id": b.column(0), "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    "doc_id": whole.column(0).slice(at, len(sets)), "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "digest": pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
                     "sig": pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
                 })
 
@@ -146,34 +205,14 @@ def branch(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def sketch_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect what matches by signature within each cell of rows (cell, doc_id, sig)."""
+    """Links (a, b) that connect what matches by signature within each node of rows (node, id, sig)."""
     least = SIGNATURE * (similarity - SPREAD * (similarity * (1 - similarity) / SIGNATURE) ** 0.5)
 
-    def run(whole: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, sig = whole.column("doc_id").to_numpy(), matrix(whole.column("sig"))
-        size = np.diff(np.append(starts, len(ids)))
-        a, b = [], []
-        pairs = starts[size == 2]  # most cells: all at once
-        hit = pairs[(sig[pairs] == sig[pairs + 1]).sum(1) >= least]
-        a += ids[hit].tolist()
-        b += ids[hit + 1].tolist()
-        for s, n in zip(starts[size > 2], size[size > 2], strict=True):
-            own = sig[s:s + n]
-            for i, j in link_all(int(n), lambda i, js, own=own: (own[js] == own[i]).sum(1) >= least):
-                a.append(int(ids[s + i]))
-                b.append(int(ids[s + j]))
-        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return map_cells(rows, "cell", run, "a long, b long")
-
-
-def blocked(rows: DataFrame, key: str, blocks: str) -> DataFrame:
-    """Add `cell`: a group in one block is a cell; of a larger one, each pair of blocks is one."""
-    n = F.col(blocks)
-    own = F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    other = F.sequence(F.lit(0), (n - 1).cast("int"))
-    rows = rows.withColumn("ce_own", own).withColumn("ce_other", F.explode(other))
-    return rows.withColumn("cell", F.xxhash64(key, F.least("ce_own", "ce_other"), F.greatest("ce_own", "ce_other"))).drop("ce_own", "ce_other")
+    def links(cell: pa.Table):
+        sig = matrix(cell.column("payload"))
+        return lambda i, js: (sig[js] == sig[i]).sum(1) >= least
+
+    return connect(rows.select("node", "id", F.lit(1).alias("weight"), F.col("sig").alias("payload")), BLOCK, links, pairwise=True)
 
 
 def candidates(reps: DataFrame, similarity: float, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
@@ -184,50 +223,53 @@ def candidates(reps: DataFrame, similarity: float, trees: int = TREES, depth: in
     for level in range(1, depth + 1):
         nodes = checkpoint(nodes)
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        met = checkpoint(nodes.join(sizes, "node"))
+        met = checkpoint(spread_join(nodes, sizes, "node"))
         end = level == depth
         done = met if end else met.where(F.col("size") <= leaf)
         leaves = done if leaves is None else leaves.unionByName(done)
         if end or not met.where(F.col("size") > leaf).limit(1).count():
             break
         nodes = branch(met.where(F.col("size") > leaf).join(reps, "doc_id"), similarity)
-    leaves = blocked(leaves.withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "node", "blocks")
-    return sketch_links(leaves.select("cell", "doc_id").join(reps, "doc_id"), similarity)
+    leaves = stored(leaves.select("node", "doc_id").distinct().join(reps, "doc_id").withColumnRenamed("doc_id", "id"), "leaves")
+    return sketch_links(leaves, similarity)
 
 
 def confirmed(docs: DataFrame, groups: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links (a, b) that connect what links by full shingle sets within each group (id, component)."""
     percent = round(similarity * 100)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(groups, F.col("doc_id") == F.col("id")).select("doc_id", "text", "component")
-    texts = stored(texts, "candidates")
-    sizes = texts.groupBy("component").agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).alias("blocks"))
-    rows = blocked(texts.join(sizes, "component").withColumn("blocks", F.greatest("blocks", F.lit(1))), "component", "blocks")
-
-    def run(whole: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, text = whole.column("doc_id").to_numpy(), whole.column("text")
-        a, b = [], []
-        for s, e in zip(starts, np.append(starts[1:], len(ids)), strict=True):
-            sets = [shingle_set(t, k) for t in text.slice(s, e - s).to_pylist()]
-            size = np.array([len(x) for x in sets])
-            at = np.concatenate([[0], np.cumsum(size)])
-            every = np.concatenate(sets)
-
-            def linked(i: int, js: np.ndarray) -> np.ndarray:
-                ok = (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])) & (size[js] > 0)
-                near = js[ok]
-                if len(near):
-                    x = np.concatenate([every[at[j]:at[j + 1]] for j in near])
-                    pos = np.minimum(np.searchsorted(sets[i], x), size[i] - 1)
-                    both = np.add.reduceat((sets[i][pos] == x).astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
-                    ok[ok] = 100 * both >= percent * (size[near] + size[i] - both)
-                return ok
-
-            for i, j in link_all(int(e - s), linked):
-                a.append(int(ids[s + i]))
-                b.append(int(ids[s + j]))
-        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return map_cells(rows.select("cell", "doc_id", "text"), "cell", run, "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at, sets in sets_of(whole.column(2), k):
+                yield pa.record_batch({
+                    "node": whole.column(0).slice(at, len(sets)), "id": whole.column(1).slice(at, len(sets)),
+                    "weight": pa.array([8 * len(s) for s in sets], pa.int64()), "payload": pa.array([s.tobytes() for s in sets], pa.binary()),
+                })
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(groups, F.col("doc_id") == F.col("id")).select("component", "id", "text")
+    sets = stored(texts.mapInArrow(run, "node long, id long, weight long, payload binary").where("weight > 0"), "candidates")
+
+    def links(cell: pa.Table):
+        payload = cell.column("payload").combine_chunks()
+        at = np.frombuffer(payload.buffers()[1], np.int32, len(payload) + 1, 4 * payload.offset).astype(np.int64)
+        every, at = np.frombuffer(payload.buffers()[2], np.uint64, int(at[-1]) // 8), at // 8
+        size = np.diff(at)
+
+        def linked(i: int, js: np.ndarray) -> np.ndarray:
+            own = every[at[i]:at[i + 1]]
+            ok = 100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])
+            near = np.flatnonzero(ok)
+            for c in range(0, len(near), 256):
+                j = js[near[c:c + 256]]
+                x = np.concatenate([every[at[r]:at[r + 1]] for r in j])
+                pos = np.minimum(np.searchsorted(own, x), size[i] - 1)
+                both = np.add.reduceat((own[pos] == x).astype(np.int64), np.concatenate([[0], np.cumsum(size[j])[:-1]]))
+                ok[near[c:c + 256]] = 100 * both >= percent * (size[j] + size[i] - both)
+            return ok
+
+        return linked
+
+    return connect(sets, BLOCK_BYTES, links)
 
 
 def dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
@@ -236,19 +278,27 @@ def dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TRE
     classes = checkpoint(f.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = f.select("doc_id", "digest", "sig").join(classes.withColumnRenamed("digest", "rdigest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("rdigest")))
     reps = stored(reps.select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]), "reps")
-    groups = components(candidates(reps, similarity, trees))
-    links = components(confirmed(docs, checkpoint(groups), k, similarity))
+    groups = stored(components(candidates(reps, similarity, trees)), "groups")
+    links = components(confirmed(docs, groups, k, similarity))
     classes = classes.join(links, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = f.select("doc_id", "n", "digest").join(classes, "digest", "left").withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    out = spread_join(f.select("doc_id", "n", "digest"), classes, "digest", "left").withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
-    """The rows of docs whose id is the smallest of their group, once each (rows with a null id stay)."""
-    kept = dedup(docs, k, similarity, trees).where("kept and doc_id is not null").select(F.col("doc_id").alias("kid")).distinct()
-    whole = docs.join(kept, F.col("doc_id") == F.col("kid"))
-    whole = whole.withColumn("mh_r", F.row_number().over(Window.partitionBy("kid").orderBy(F.xxhash64("text")))).where("mh_r = 1")
-    return whole.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose id is the smallest of their group, once each (rows with a null id stay).
+
+    Texts don't move where the ids that go are few enough for Spark to broadcast; else they are
+    shuffled once, and not sorted.
+    """
+    judged = checkpoint(dedup(docs, k, similarity, trees).select("doc_id", "kept"))
+    out = stored(judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("mh_id")).distinct(), "dropped")
+    again = stored(judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("mh_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh_id"), "again")
+    whole = docs.join(out.hint("shuffle_hash") if not small(out) else out, F.col("doc_id") == F.col("mh_id"), "left_anti")
+    if again.limit(1).count():  # rows that repeat an id: the first by the hash of its text
+        rows = whole.join(again, F.col("doc_id") == F.col("mh_id")).withColumn("mh_r", F.row_number().over(Window.partitionBy("mh_id").orderBy(F.xxhash64("text")))).where("mh_r = 1")
+        whole = whole.join(again, F.col("doc_id") == F.col("mh_id"), "left_anti").unionByName(rows.select(*docs.columns))
+    return whole
 
 
 def report(docs: DataFrame) -> DataFrame:

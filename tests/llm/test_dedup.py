@@ -117,6 +117,15 @@ def test_embedding_recall():
     assert meet.mean() > 0.99
 
 
+def test_wide_vectors_and_clashing_names(spark):
+    """Doubles that no 4-byte float holds, extra columns, and all links of a table at the exact threshold of equal vectors."""
+    r = np.random.default_rng(1)
+    rows = [(i, (r.normal(size=20) if i % 2 else np.ones(20) + 1e-9 * r.normal(size=20)).tolist(), 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as id", "2 as code", "3 as x", "4 as kept")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embed_dedup.dedup(df).collect()}
+    assert got == brute_vectors(rows) and got[0] == (29, 0)
+
+
 def test_empty_vectors(spark):
     assert embed_dedup.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert embed_dedup.dedup(spark.createDataFrame([(1, None, None)], "vec_id long, embedding array<float>, label int")).first().kept
