@@ -1,14 +1,17 @@
-"""Benchmark decontamination: word windows of the test items, looked up in every training text.
+"""Benchmark decontamination: hashes of normalised word n-grams of the test items, looked up in every training text.
 
-Every window of an item is filed under its longest word (the anchor). A pass over each document
-keeps the places of anchor words, using a hash set; only those places become rows, join the
-windows by anchor (broadcast when the windows' checked count allows, shuffled otherwise) and are
-confirmed word by word. So the number of rows follows the number of possible hits and not the
-number of words.
+Every window of an item (GRAM words; a shorter item is one window) is hashed. The hashes go to all
+tasks as one bit set of at most 2 ** MAX_BITS bits, a literal of the plan, whatever the number of
+windows. A pass over each document hashes its windows by slices of its word hashes and tests them
+against the bit set; only those that pass become rows (number, hash and the window's own words),
+join the windows by hash (broadcast when their checked bytes allow, else shuffled, hot windows
+apart) and are confirmed word by word. So rows follow the hits, false ones included, and not the
+words; a bit set too small for its windows costs time and never results.
 
 Defined results: null and empty texts have no words and no hits; items without words never occur;
-repeated rows are judged one by one; repeated item ids count once; columns added here are prefixed
-`dc_`. With an empty benchmark nothing is hit.
+repeated rows are judged one by one; repeated item ids count once; very long texts are one row like
+others; an empty table gives an empty one, and with an empty benchmark nothing is hit; columns added
+here are prefixed `dc_`, so others may have any other name.
 """
 
 from __future__ import annotations
@@ -16,34 +19,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import MARKS, ascii_lower, checkpoint, split_words
+from tesserae.llm.common import MARKS, ascii_lower, checkpoint, let, small, split_words, spread_join, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GRAM = 10
-#: Distinct anchors up to here become a hash set inside the plan; more are matched by an equi-join.
-MAX_SET = 50_000
-#: Windows up to here are broadcast (about 300 bytes each, so 60 MB at most); more are shuffled.
-MAX_BROADCAST = 200_000
+#: Bits of the set for each window, and the base-2 logarithms of its least and greatest size (8 MB).
+BITS_EACH, MIN_BITS, MAX_BITS = 64, 12, 26
+#: Windows of up to so many bytes are broadcast; more are shuffled.
+MAX_BROADCAST = 64 << 20
 
 
 def words(text: Column) -> Column:
     return split_words(ascii_lower(text), MARKS)
 
 
+def hashed(words_of: Column) -> Column:
+    return F.transform(words_of, lambda x: F.xxhash64(x))
+
+
 def windows(benchmark: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(anchor, dc_off, dc_len, dc_win, items): distinct windows with the items that hold them."""
+    """(dc_h, dc_win, dc_ids): distinct windows with their hash and the items that hold them."""
     b = benchmark.select(F.col("item_id").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - gram, F.lit(0)))
     b = b.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, F.lit(gram)))).alias("dc_win"))
-    b = b.groupBy("dc_win").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    # the longest word, the first of several
-    best = F.aggregate(
-        F.transform("dc_win", lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("neg"), x.alias("x"))),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("neg"), F.lit("").alias("x")),
-        lambda a, s: F.when((s["n"] > a["n"]), s).otherwise(a),
-    )
-    return b.withColumn("dc_best", best).select(F.col("dc_best")["x"].alias("anchor"), (-F.col("dc_best")["neg"]).alias("dc_off"), F.size("dc_win").alias("dc_len"), "dc_win", "items")
+    b = b.groupBy("dc_win").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("dc_ids"))
+    return b.select(F.xxhash64(hashed(F.col("dc_win"))).alias("dc_h"), "dc_win", "dc_ids")
+
+
+def bit_set(wins: DataFrame, n: int, max_bits: int = MAX_BITS) -> tuple[Column, int]:
+    """The bits named by the leading bits of the hashes, as a literal array of longs, and how many bits lead."""
+    bits = min(max(MIN_BITS, (n * BITS_EACH - 1).bit_length()), max_bits)
+    place = F.shiftrightunsigned("dc_h", 64 - bits)
+    own = wins.select(F.shiftrightunsigned(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    table = [0] * (1 << (bits - 6))
+    for r in own.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # at most 2 ** (MAX_BITS - 6) rows
+        table[r.at] = r.bits
+    return F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<bigint>)"), bits
 
 
 def union_length(spans: Column) -> Column:
@@ -53,31 +65,43 @@ def union_length(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, max_set: int = MAX_SET, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def possible(w: Column, sizes: list[int], table: Column, bits: int) -> Column:
+    """Windows of the words w whose hash is in the bit set: array<struct<i,dc_h,win>>."""
+
+    def of(hashes: Column, n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.expr("cast(array() as array<int>)"))
+        tests = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i + 1, F.lit(n))))
+
+        def look(h: Column, i: Column) -> Column:
+            there = F.getbit(F.get(table, F.shiftrightunsigned(h, 64 - bits + 6).cast("int")), F.shiftrightunsigned(h, 64 - bits).bitwiseAND(F.lit(63)).cast("int")) == 1
+            return F.when(there, F.struct(i.alias("i"), h.alias("dc_h"), F.slice(w, i + 1, F.lit(n)).alias("win")))
+
+        return F.filter(F.transform(tests, look), lambda x: x.isNotNull())
+
+    return let(hashed(w), lambda hashes: F.flatten(F.array(*[of(hashes, n) for n in sizes])))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, max_bits: int = MAX_BITS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """One row per input row: its columns but `text`, then dc_n_words, dc_spans (sorted struct<s,e>, distinct) and dc_items (sorted, distinct)."""
     wins = checkpoint(windows(benchmark, gram))
-    n_wins = wins.count()
+    width = F.aggregate(F.concat("dc_win", "dc_ids"), F.lit(64).cast("long"), lambda a, x: a + 32 + F.octet_length(x))
+    n_wins, n_bytes, sizes = wins.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0)), F.sort_array(F.collect_set(F.size("dc_win")))).first()  # at most GRAM sizes
     keep = [c for c in docs.columns if c != "text"]
-    src = docs.select(F.monotonically_increasing_id().alias("dc_row"), F.struct(*keep).alias("dc_keep") if keep else F.lit(0).alias("dc_keep"), words(F.col("text")).alias("dc_w"))
-    anchors = wins.select("anchor").distinct()
-    if n_wins <= max_broadcast and (listed := [r.anchor for r in anchors.limit(max_set + 1).collect()]) is not None and len(listed) <= max_set:
-        at = F.filter(F.transform("dc_w", lambda x, i: F.when(x.isin(listed), i)), lambda i: i.isNotNull()) if listed else F.expr("cast(array() as array<int>)")
-    else:
-        at = F.sequence(F.lit(0), F.size("dc_w") - 1)
-        at = F.when(F.size("dc_w") > 0, at).otherwise(F.expr("cast(array() as array<int>)"))
-    near = F.transform(at, lambda i: F.struct(i.alias("i"), F.get("dc_w", i).alias("anchor"), F.slice("dc_w", F.greatest(i - (gram - 1), F.lit(0)) + 1, F.lit(2 * gram - 1)).alias("ctx")))
-    rows = src.select("dc_row", "dc_keep", F.size("dc_w").alias("dc_n_words"), F.explode_outer(near).alias("p"))
-    rows = rows.select("dc_row", "dc_keep", "dc_n_words", "p.i", "p.anchor", "p.ctx")
-    wins = F.broadcast(wins) if n_wins <= max_broadcast else wins
-    start = F.col("i") - F.col("dc_off")
-    base = F.greatest(F.col("i") - (gram - 1), F.lit(0))
-    same = (start >= 0) & (F.slice("ctx", F.greatest(start - base, F.lit(0)) + 1, F.col("dc_len")) == F.col("dc_win"))
-    met = rows.join(wins, "anchor", "left")
-    span = F.when(same, F.struct(start.alias("s"), (start + F.col("dc_len")).alias("e")))
-    out = met.select("dc_row", "dc_keep", "dc_n_words", span.alias("span"), F.when(same, F.col("items")).alias("items"))
+    none = F.expr("cast(array() as array<struct<i:int,dc_h:bigint,win:array<string>>>)")
+    table, bits = bit_set(wins, n_wins, max_bits)
+    seen = let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), (possible(w, sizes, table, bits) if sizes else none).alias("near")))
+    src = docs.select(F.monotonically_increasing_id().alias("dc_row"), F.struct(F.lit(0).alias("dc_"), *keep).alias("dc_keep"), seen.alias("dc_seen"))
+    rows = src.select("dc_row", "dc_keep", F.col("dc_seen.n").alias("dc_n_words"), F.explode_outer("dc_seen.near").alias("dc_p"))
+    rows = rows.select("dc_row", "dc_keep", "dc_n_words", F.col("dc_p.i").alias("dc_i"), F.col("dc_p.dc_h").alias("dc_h"), F.col("dc_p.win").alias("dc_own"))
+    met = rows.join(F.broadcast(wins), "dc_h", "left") if n_bytes <= max_broadcast else spread_join(checkpoint(rows), wins.groupBy("dc_h").agg(F.collect_list(F.struct("dc_win", "dc_ids")).alias("dc_all")), "dc_h", "left").select(
+        "*", F.explode_outer("dc_all").alias("dc_one")
+    ).select("dc_row", "dc_keep", "dc_n_words", "dc_i", "dc_own", F.col("dc_one.dc_win").alias("dc_win"), F.col("dc_one.dc_ids").alias("dc_ids"))
+    same = F.col("dc_own") == F.col("dc_win")
+    span = F.when(same, F.struct(F.col("dc_i").alias("s"), (F.col("dc_i") + F.size("dc_win")).alias("e")))
+    out = met.select("dc_row", "dc_keep", "dc_n_words", span.alias("dc_span"), F.when(same, F.col("dc_ids")).alias("dc_ids"))
     out = out.groupBy("dc_row").agg(
         F.first("dc_keep").alias("dc_keep"), F.first("dc_n_words").alias("dc_n_words"),
-        F.sort_array(F.collect_set("span")).alias("dc_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("dc_items"),
+        F.sort_array(F.collect_set("dc_span")).alias("dc_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("dc_ids")))).alias("dc_items"),
     )
     return out.select("dc_row", *([F.col("dc_keep")[c].alias(c) for c in keep]), "dc_n_words", "dc_spans", "dc_items")
 
@@ -92,28 +116,51 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def merged(spans: Column) -> Column:
+    """Disjoint spans from sorted ones."""
+    zero = F.expr("cast(array() as array<struct<s:int,e:int>>)")
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.element_at(a, -1)
+        joins = (F.size(a) > 0) & (x["s"] <= F.when(F.size(a) > 0, last["e"]))
+        grown = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when(joins, grown).otherwise(F.concat(a, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+
+    return F.aggregate(spans, zero, step)
+
+
 def cut_spans(text: Column, spans: Column) -> Column:
     """The text without the words in spans; each run of removed words leaves the separator before it."""
-    hit_words = F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
-    gaps = F.split(text, RAW_WORD, -1)
-    gone = lambda i: F.exists(spans, lambda s: (s["s"] <= i) & (i < s["e"]))
-    kept = F.transform(hit_words, lambda w, i: F.when(~gone(i), F.concat(F.get(gaps, i), w)).when(i == 0, F.get(gaps, i)).otherwise(F.when(~gone(i - 1), F.get(gaps, i)).otherwise(F.lit(""))))
-    return F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
+
+    def cut(gaps: Column, pieces: Column, gone: Column) -> Column:
+        """pieces: each word with the separator before it."""
+        part = lambda a, b: F.array_join(F.slice(pieces, a + 1, b - a), "")
+        runs = F.transform(gone, lambda x, k: F.concat(part(F.when(k > 0, F.get(gone, k - 1)["e"]).otherwise(F.lit(0)), x["s"]), F.get(gaps, x["s"])))
+        return F.concat(F.array_join(runs, ""), part(F.element_at(gone, -1)["e"], F.size(pieces)), F.element_at(gaps, -1))
+
+    gaps, own = F.split(text, RAW_WORD, -1), F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
+    pieces = lambda g: F.zip_with(F.slice(g, F.lit(1), F.size(g) - 1), own, lambda x, w: F.concat(x, w))
+    return let(gaps, lambda g: let(pieces(g), lambda p: let(merged(spans), lambda m: cut(g, p, m))))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", gram: int = GRAM) -> DataFrame:
-    """Remove contaminated documents (`document`) or the hit words only (`span`); columns as in docs."""
+    """Remove contaminated documents (`document`) or the hit words only (`span`); columns as in docs.
+
+    Only the keys of hit texts meet the documents again, so texts pass through no aggregation, and
+    they stay where they are while Spark would broadcast those keys by their size.
+    """
     if mode not in ("document", "span"):
         raise ValueError(f"unknown mode {mode}")
+    key = F.xxhash64("text")
+    hit = hits(docs.select(F.col("doc_id").alias("dc_id"), key.alias("dc_key"), "text"), benchmark, gram).where(F.size("dc_spans") > 0)
+    hit = stored(hit.groupBy("dc_id", "dc_key").agg(F.first("dc_spans").alias("dc_spans")), "hits")
+    on = F.col("doc_id").eqNullSafe(F.col("dc_id")) & (key == F.col("dc_key"))
     if mode == "document":
-        # only the keys of hit texts meet the documents again, so texts don't pass through an aggregation
-        hit = hits(docs.select(F.xxhash64("text").alias("hk"), F.col("doc_id").alias("hid"), "text"), benchmark, gram).where(F.size("dc_spans") > 0).select("hid", "hk").distinct()
-        return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hid")) & (F.xxhash64("text") == F.col("hk")), "left_anti")
-    whole = docs.select(*[F.col(c) for c in docs.columns], F.col("text").alias("dc_text"))
-    h = hits(whole, benchmark, gram)
-    spans = F.col("dc_spans")
-    text = F.when(F.size(spans) == 0, F.col("dc_text")).otherwise(cut_spans(F.col("dc_text"), spans))
-    return h.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+        keys = hit.select("dc_id", "dc_key")
+        return docs.join(keys if small(keys) else keys.hint("shuffle_hash"), on, "left_anti")
+    met = docs.join(hit, on, "left")
+    text = F.when(F.col("dc_spans").isNull(), F.col("text")).otherwise(cut_spans(F.col("text"), F.col("dc_spans")))
+    return met.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 SQL = f"""
