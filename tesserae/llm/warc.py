@@ -9,9 +9,15 @@ Reading: archives are streamed. A record's payload leaves the reader as rows (re
 bytes) of at most CHUNK bytes that carry the digest and the length so far, so no record has to fit
 in memory; the last chunk's digest is the record's.
 
+Archives of other writers are read, too: plain or compressed, WARC/1.0 or 1.1, records of every type
+(HTTP heads are parsed where the content is HTTP and the block holds one), folded header lines, and
+records without a digest or a page id, which are null then.
+
 Defined results: a null payload counts as empty; rows with the smallest id of their payload are all
 responses, should that id be repeated; a null page id or url is left out of the record's headers and
-read back as null; a null id is never referred to by revisits unless no other id has the payload.
+read back as null; a null id is never referred to by revisits unless no other id has the payload;
+very long payloads travel in chunks; an empty table gives no archive and no rows; other columns of
+pages, of whatever name, are not archived.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ import base64
 import contextlib
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,9 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import checkpoint, shared_dir
+from tesserae.llm.common import checkpoint, remove, shared_dir
 
 CHUNK = 256 * 1024
+HEAD = 1 << 20  # a longer HTTP head counts as payload
 MIN_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -133,10 +141,11 @@ def put(out, page_id: int | None, url: str | None, digest: str, payload: memoryv
 
 
 class Stream:
-    """Bytes of a file of gzip members, a bounded piece at a time."""
+    """Bytes of a plain file or one of gzip members, a bounded piece at a time."""
 
     def __init__(self, f, size: int) -> None:
-        self.f, self.size, self.z, self.have, self.raw = f, size, zlib.decompressobj(31), b"", b""
+        self.f, self.size, self.have, self.raw = f, size, b"", f.read(size)
+        self.z = zlib.decompressobj(31) if self.raw[:2] == b"\x1f\x8b" else None
 
     def more(self) -> bool:
         while True:
@@ -144,19 +153,26 @@ class Stream:
                 self.raw = self.f.read(self.size)
                 if not self.raw:
                     return False
-            got = self.z.decompress(self.raw, self.size)
-            self.raw = self.z.unconsumed_tail
-            if self.z.eof:
-                self.raw, self.z = self.z.unused_data, zlib.decompressobj(31)
+            if self.z is None:
+                got, self.raw = self.raw, b""
+            else:
+                got = self.z.decompress(self.raw, self.size)
+                self.raw = self.z.unconsumed_tail
+                if self.z.eof:
+                    self.raw, self.z = self.z.unused_data, zlib.decompressobj(31)
             if got:
                 self.have += got
                 return True
 
-    def until(self, mark: bytes) -> bytes | None:
-        """What stands before mark; None at the end of the file."""
-        while (k := self.have.find(mark)) < 0:
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """What stands before mark; None, and nothing read, where it doesn't end within the next `most` bytes or before the end of the file."""
+        seen = 0
+        while (k := self.have.find(mark, max(0, seen - len(mark)), most)) < 0:
+            seen = len(self.have)
+            if most is not None and seen >= most:
+                return None
             if not self.more():
-                if self.have.strip():
+                if most is None and self.have.strip():
                     raise ValueError("archive ends inside a record's header")
                 return None
         out, self.have = self.have[:k], self.have[k + len(mark):]
@@ -177,14 +193,16 @@ def records(f, chunk: int = CHUNK) -> Iterator[dict]:
     """Rows of RECORDS from an open archive."""
     s = Stream(f, chunk)
     while (head := s.until(b"\r\n\r\n")) is not None:
-        lines = head.decode().split("\r\n")
+        lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace").lstrip("\r\n")).split("\r\n")  # a folded line goes on
         if not lines[0].startswith("WARC/"):
             raise ValueError("no WARC record where one should start")
-        h = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines[1:])}
-        http = s.until(b"\r\n\r\n") or b""
-        left = int(h["content-length"]) - len(http) - 4
+        h = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines[1:] if ":" in line)}
+        left = int(h["content-length"])
+        if h.get("content-type", "").lower().startswith("application/http") and (http := s.until(b"\r\n\r\n", min(left, HEAD))) is not None:
+            left -= len(http) + 4
         number = lambda k: int(h[k]) if k in h else None
-        row = {"record_id": h["warc-record-id"], "page_id": number("x-page-id"), "url": h.get("warc-target-uri"), "record_type": h["warc-type"], "refers_to": number("x-refers-to-page-id"), "declared": h["warc-payload-digest"].removeprefix("sha1:")}
+        declared = h.get("warc-payload-digest")
+        row = {"record_id": h.get("warc-record-id"), "page_id": number("x-page-id"), "url": h.get("warc-target-uri"), "record_type": h.get("warc-type"), "refers_to": number("x-refers-to-page-id"), "declared": declared and declared.split(":", 1)[-1]}
         sha, n, done = hashlib.sha1(), 0, 0
         for piece in s.take(left) if left else [b""]:
             sha.update(piece)
@@ -220,8 +238,10 @@ def read(spark: SparkSession, archives: DataFrame, with_data: bool = True, chunk
 def report(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The columns of op7: pages are archived below the shared folder and read back."""
     spark = pages.sparkSession
-    archives = write(pages, f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}", min_bytes)
+    at = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    archives = write(pages, at, min_bytes)
     ends = checkpoint(read(spark, archives, with_data=False).where("last").drop("data"))
+    remove(spark, at)  # read and checked; the digests are checkpointed
     whole = ends.where("record_type = 'response'").groupBy(F.col("page_id").alias("rid"), F.col("declared").alias("rdigest")).agg(F.max("bytes_so_far").alias("rbytes"), F.max("sha1_so_far").alias("rsha1"))
     back = ends.where("record_type = 'revisit'").join(whole, F.col("refers_to").eqNullSafe(F.col("rid")) & (F.col("declared") == F.col("rdigest")), "left")
     cols = lambda n, d: ["page_id", F.col(n).alias("payload_bytes"), F.col(d).alias("payload_digest"), "record_type", "refers_to", (F.col(d) == F.col("declared")).alias("verified")]
