@@ -8,7 +8,8 @@ target: the error of a source is less than its longest document.
 
 Defined results: a null source is a source of its own, after all others; null and empty texts have
 size 0; in a source without words nothing is taken; rows that agree in id, source and size are
-interchangeable; an empty table gives an empty one.
+interchangeable; very long texts only count their words; an empty table gives an empty one; other
+columns, of whatever name but a prefix `mx_`, stay as they are.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import SPACES, checkpoint, count_words, ranked
+from tesserae.llm.common import SPACES, checkpoint, count_words, ranked, small, stored
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -56,14 +57,28 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as it is taken."""
-    # rows meet their copies by one key, on which both the join and the numbering of repeated rows are partitioned
-    c = copies(docs, weights, max_repeat, seed).groupBy(F.xxhash64("doc_id", "source", "size").alias("mx_key")).agg(F.sort_array(F.collect_list("copies")).alias("mx_copies"))
-    d = docs.withColumn("mx_key", F.xxhash64("doc_id", "source", count_words(F.col("text"), SPACES)))
-    out = d.join(c.where(F.exists("mx_copies", lambda n: n > 0)), "mx_key")
-    out = out.withColumn("mx_r", F.row_number().over(Window.partitionBy("mx_key").orderBy(F.xxhash64("text"))))
-    n = F.element_at("mx_copies", F.col("mx_r")).cast("int")
-    return out.where(n > 0).withColumn("mx_copy", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    """The rows of docs, each as often as it is taken.
+
+    Rows meet their number of copies by a hash of id, source and size. Texts stay where they are
+    while Spark would broadcast those numbers by their size, and are shuffled, unsorted, beyond. Only
+    rows that agree in all three are numbered first, as some of them may be taken more often.
+    """
+    n = lambda v: F.count(F.when(F.col("copies") == v, True)).alias(f"mx_{v}")
+    key = F.xxhash64("doc_id", "source", count_words(F.col("text"), SPACES))
+    c = copies(docs, weights, max_repeat, seed).groupBy(F.xxhash64("doc_id", "source", "size").alias("mx_key")).agg(F.count(F.lit(1)).alias("mx_n"), *[n(v) for v in range(1, max_repeat + 1)])
+    c = stored(c.where(sum(F.col(f"mx_{v}") for v in range(1, max_repeat + 1)) > 0), "copies")
+    once = c.where("mx_n = 1").select(F.col("mx_key").alias("mx_own"), sum(v * F.col(f"mx_{v}") for v in range(1, max_repeat + 1)).cast("int").alias("mx_copies"))
+    out = docs.join(once if small(once) else once.hint("shuffle_hash"), key == F.col("mx_own"))
+    several = c.where("mx_n > 1").withColumnRenamed("mx_key", "mx_own")
+    if several.limit(1).count():
+        same = docs.join(several if small(several) else several.hint("shuffle_hash"), key == F.col("mx_own")).withColumn("mx_id", F.monotonically_increasing_id())
+        same = ranked(same, "mx_own", [F.xxhash64("text"), F.col("mx_id")], "mx_r")
+        times, upto = F.lit(0), F.lit(0)
+        for v in range(max_repeat, 0, -1):  # the first rows are taken most often
+            times = F.when((times == 0) & (F.col("mx_r") <= upto + F.col(f"mx_{v}")), F.lit(v)).otherwise(times)
+            upto = upto + F.col(f"mx_{v}")
+        out = out.unionByName(same.select(*docs.columns, "mx_own", times.alias("mx_copies")))
+    return out.where("mx_copies > 0").withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies")))).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
