@@ -110,19 +110,33 @@ def append_roundtrip(spark, path):
 @query(f"SELECT CAST(count(*) AS BIGINT) AS num_samples, CAST({SHARDS} AS INTEGER) AS num_shards, CAST(sum(len(embedding) + 2 * ceil(len(embedding) / CAST(32 AS DOUBLE))) AS BIGINT) AS code_bytes, CAST(sum(4 * len(embedding)) AS BIGINT) AS raw_bytes FROM embeddings")
 def cache_summary(spark, path):
     c = cache(spark, path)
-    size = F.aggregate("code", F.lit(0).cast("long"), lambda a, b: a + F.size(b["q"]) + 2)
-    return c.codes().agg(F.count(F.lit(1)).alias("num_samples"), F.lit(c.meta["num_shards"]).alias("num_shards"), F.sum(size).alias("code_bytes"), F.sum(F.aggregate("code", F.lit(0).cast("long"), lambda a, b: a + 4 * F.size(b["q"]))).alias("raw_bytes"))
+    code = F.octet_length("q") + 2 * F.size("scale_bits")
+    return c.codes().agg(F.count(F.lit(1)).alias("num_samples"), F.lit(c.meta["num_shards"]).alias("num_shards"), F.sum(code.cast("long")).alias("code_bytes"), F.sum((4 * F.octet_length("q")).cast("long")).alias("raw_bytes"))
+
+
+STORED_MODES = {"sym": (1.0, 2), "amo_balanced": (1.0, 3), "int4": (0.5, 2), "int3": (0.375, 2)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS mode, CAST(count(*) AS BIGINT) AS num_samples, CAST(sum(ceil(len(embedding) * CAST({v} AS DOUBLE)) + {b} * ceil(len(embedding) / CAST(32 AS DOUBLE))) AS BIGINT) AS stored_bytes FROM embeddings" for m, (v, b) in STORED_MODES.items()))
+def stored_bytes(spark, path):
+    """Bytes that caches of four modes hold, counted in what is stored: codes, scales and zero points."""
+    out = None
+    for mode in STORED_MODES:
+        size = F.octet_length("q") + 2 * F.size("scale_bits") + F.coalesce(F.octet_length("zp"), F.lit(0))
+        one = cache(spark, path, SHARDS, mode).codes().agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("num_samples"), F.sum(size.cast("long")).alias("stored_bytes"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"WITH {POS} SELECT {SHARD} AS shard, CAST(1 AS BIGINT) AS layouts, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY 1")
 def cache_layout_check(spark, path):
     """Number of distinct block layouts by shard: one, or the cache could not be read with a fixed stride."""
-    layout = F.transform("code", lambda b: F.size(b["q"]))
-    return cache(spark, path).codes().groupBy("shard").agg(F.countDistinct(layout.cast("string")).alias("layouts"), F.count(F.lit(1)).alias("n"))
+    layout = F.concat_ws(":", F.octet_length("q"), F.size("scale_bits"))
+    return cache(spark, path).codes().groupBy("shard").agg(F.countDistinct(layout).alias("layouts"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {DECODED} SELECT sample_id, sum_r FROM j WHERE sample_id % 10 = 3")
+@query(f"WITH {DECODED} SELECT sample_id, sum_r FROM j WHERE sample_id IN (SELECT label + CAST(vec_id * 3 AS BIGINT) FROM embeddings)")
 def gather_ids(spark, path):
-    """Arbitrary ids, gathered by a semi-join."""
-    ids = spark.read.parquet(f"{path}/embeddings.parquet").select(F.col("vec_id").alias("sample_id")).where("sample_id % 10 = 3")
+    """Ids computed from every row of the table, with repeats and ids that no sample has, gathered by a semi-join of packed rows."""
+    ids = spark.read.parquet(f"{path}/embeddings.parquet").select((F.col("label") + F.col("vec_id") * 3).cast("long").alias("sample_id"))
     return cache(spark, path).gather(ids).select("sample_id", sum_r())

@@ -15,6 +15,18 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def folders(spark: SparkSession, path: str, files: bool = False) -> list[str]:
+    """Names of the folders (or files) in a folder of any store that Spark reads; none if it doesn't exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(at) if f.isFile() == files] if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir (a temporary one only where none is set): every later use sees the same rows in the same partitions."""
     sc = df.sparkSession.sparkContext

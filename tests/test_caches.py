@@ -46,6 +46,38 @@ def test_feature_cache(spark, vectors, tmp_path):
         C.FeatureCacheWriter(spark, at, C.Settings(70, 32, "amo_fast", 4)).append(vectors, "x", "id")
 
 
+def test_feature_cache_commits(spark, vectors, tmp_path):
+    at = f"file://{tmp_path}/c"
+    w = C.FeatureCacheWriter(spark, at, C.Settings(35, 32, "amo_fast", 1, 2))
+    first, rest = vectors.where("id < 10"), vectors.where("id >= 10")
+    w.write(first, "x", "id")
+    keep, w.publish = w.publish, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        w.append(rest, "x", "id")
+    assert len(C.FeatureCacheDataset(spark, at)) == C.FeatureCacheDataset(spark, at).codes().count() == 10
+    w.publish = keep
+    w.append(rest, "x", "id")
+    c = C.FeatureCacheDataset(spark, at)
+    assert sorted(r.sample_id for r in c.codes().collect()) == list(range(23)) and c.tokens().count() == 46 and c.sample(5, 1).count() == 5
+    whole = {r.id: r.decoded for r in Q.decompress(Q.encode(vectors, "x", "amo_fast")).collect()}
+    assert {r.sample_id: r.decoded for r in c.decoded().collect()} == whole
+    assert [r.sample_id for r in c.sample(5, 1).collect()] != [r.sample_id for r in c.sample(5, 2).collect()]
+    for bad in (vectors.selectExpr("greatest(id, 1) - 1 as id", "x"), vectors.selectExpr("id + 1 as id", "x"), vectors.selectExpr("nullif(id, 4) as id", "x")):
+        with pytest.raises(ValueError):
+            w.write(bad, "x", "id")
+    w.write(first, "x", "id")
+    assert len(C.FeatureCacheDataset(spark, at)) == 10 and len(list((tmp_path / "c" / "data").iterdir())) == 1
+
+
+@pytest.mark.parametrize("mode", Q.MODES)
+def test_stored_form(spark, vectors, tmp_path, mode):
+    at = f"file://{tmp_path}/c"
+    C.FeatureCacheWriter(spark, at, C.Settings(70, 32, mode, 2)).write(vectors, "x", "id")
+    c = C.FeatureCacheDataset(spark, at)
+    assert {r.sample_id: r.decoded for r in c.decoded().collect()} == {r.id: r.decoded for r in Q.decompress(Q.encode(vectors, "x", mode)).collect()}
+    assert c.info()["stored_bytes_per_value"] == pytest.approx(Q.bytes_per_value(mode, 32), rel=0.08)
+
+
 def test_pixel_caches(spark, tmp_path):
     rng = np.random.default_rng(1)
     images = [np.clip(rng.normal(120, 20, (24, 40, 3)), 0, 255).astype(np.uint8) for _ in range(5)]
