@@ -235,6 +235,23 @@ def sparse_pack(plane: np.ndarray) -> dict[str, bytes]:
     return {"occ": bits(occ), "mode": bits(tree), "mask": bits(own[~tree].reshape(-1)), "hflags": bits(some[tree].reshape(-1)), "hnib": nibbles(quads[some[tree]]), "vals": x[nz].astype(np.int8).tobytes()}
 
 
+def sparse_pack_all(planes: np.ndarray) -> list[dict[str, bytes]]:
+    """sparse_pack of each plane of (n, h, w): masks, trees and nibbles of all planes at once, cut where each plane ends."""
+    n = len(planes)
+    x = planes.reshape(n, -1)
+    x = np.pad(x, ((0, 0), (0, -x.shape[1] % GROUP))).reshape(n, -1, GROUP)
+    nz = x != 0
+    occ = nz.any(2)
+    quad = nz.reshape(*nz.shape[:2], 8, 4)
+    some = quad.any(3)
+    tree = occ & (some.sum(2) <= 5)
+    nib = (quad * np.array([1, 2, 4, 8], np.uint8)).sum(3, dtype=np.uint8)
+    return [{
+        "occ": bits(occ[k]), "mode": bits(tree[k][occ[k]]), "mask": bits(nz[k][occ[k] & ~tree[k]].reshape(-1)), "hflags": bits(some[k][tree[k]].reshape(-1)),
+        "hnib": nibbles(nib[k][tree[k]][some[k][tree[k]]]), "vals": x[k][nz[k]].astype(np.int8).tobytes(),
+    } for k in range(n)]
+
+
 def sparse_unpack(s: dict[str, bytes], h: int, w: int) -> np.ndarray:
     n = -(-h * w // GROUP)
     occ = unbits(s["occ"], n)
@@ -252,20 +269,28 @@ def sparse_unpack(s: dict[str, bytes], h: int, w: int) -> np.ndarray:
     return out.reshape(-1)[: h * w].reshape(h, w)
 
 
-def arena_pack(coded: list[dict], half_chroma: bool, row: int = 0) -> dict:
-    """One image's planes as two byte streams, a table of offsets (occ, mode, mask, hflags, vals, idx, step, hnib) and the coarse planes."""
-    u8, i8, table = bytearray(), bytearray(), []
+def arena_pack_all(coded: list[dict], half_chroma: bool) -> list[dict]:
+    """Each image's planes as two byte streams, a table of offsets (occ, mode, mask, hflags, vals, idx, step, hnib) and the coarse planes."""
+    n = len(coded[0]["LL4"])
+    u8, i8, table = [bytearray() for _ in range(n)], [bytearray() for _ in range(n)], [[] for _ in range(n)]
     for c, level, b in order(half_chroma):
         q, index, base = coded[c][level, b]
-        s = sparse_pack(q[row])
-        at = {}
-        for name in ("occ", "mode", "mask", "hflags", "hnib"):
-            at[name] = len(u8)
-            u8 += s[name]
-        table.append([at["occ"], at["mode"], at["mask"], at["hflags"], len(i8), len(u8), base, at["hnib"]])
-        u8 += nibbles(index[row])
-        i8 += s["vals"]
-    return {"u8": bytes(u8), "i8": bytes(i8), "meta": table, "ll4": b"".join(own["LL4"][row].astype("<i2").tobytes() for own in coded)}
+        for k, s in enumerate(sparse_pack_all(q)):
+            at = {}
+            for name in ("occ", "mode", "mask", "hflags", "hnib"):
+                at[name] = len(u8[k])
+                u8[k] += s[name]
+            table[k].append([at["occ"], at["mode"], at["mask"], at["hflags"], len(i8[k]), len(u8[k]), base, at["hnib"]])
+            u8[k] += nibbles(index[k])
+            i8[k] += s["vals"]
+    low = [own["LL4"].astype("<i2") for own in coded]
+    return [{"u8": bytes(u8[k]), "i8": bytes(i8[k]), "meta": table[k], "ll4": b"".join(x[k].tobytes() for x in low)} for k in range(n)]
+
+
+def arena_pack(coded: list[dict], half_chroma: bool, row: int = 0) -> dict:
+    """The arena of one image of a batch."""
+    one = lambda v: (v[0][row:row + 1], v[1][row:row + 1], v[2]) if isinstance(v, tuple) else v[row:row + 1]
+    return arena_pack_all([{key: one(v) for key, v in own.items()} for own in coded], half_chroma)[0]
 
 
 def arena_unpack(a: dict, half_chroma: bool, h: int, w: int) -> list[dict]:

@@ -67,11 +67,12 @@ def unblockwise(q: np.ndarray, s: np.ndarray, group: int) -> np.ndarray:
     return np.clip(np.rint((x + 1) * 127.5), 0, 255).astype(np.uint8)
 
 
-def xs_encode(images: np.ndarray, mode: str = "balanced", method: str = "rans", tables: dict | None = None) -> list[dict]:
+def xs_encode(images: np.ndarray, mode: str = "balanced", method: str = "rans", tables: dict | None = None, half_chroma: bool | None = None, codebook: np.ndarray = W.CODEBOOK, block: int = 256) -> list[dict]:
     """Adaptive wavelet, sparse streams, entropy-coded sections; the table of offsets is never coded."""
-    coded, half = W.adaptive_encode(images, mode)
-    arenas = [W.arena_pack(coded, half, k) for k in range(len(images))]
-    kw = lambda kind: {"tables": tables[kind], "embed": False, "block": 256} if method == "tans" and tables else {}
+    q_scale, lamb = W.PRESETS[mode]
+    coded, half = W.adaptive_encode(images, None, q_scale, lamb, (mode not in W.FULL_CHROMA) if half_chroma is None else half_chroma, codebook)
+    arenas = W.arena_pack_all(coded, half)
+    kw = lambda kind: ({"tables": tables[kind], "embed": False, "block": block} if tables else {"block": block}) if method == "tans" else {}
     u8 = E.pack([a["u8"] for a in arenas], ENTROPY[method], **kw("u8"))
     i8 = E.pack([a["i8"] for a in arenas], ENTROPY[method], **kw("i8"))
     ll4 = [(E.RAW, a["ll4"]) for a in arenas] if method == "none" else E.pack_planar([a["ll4"] for a in arenas], ENTROPY[method], **kw("ll4"))
@@ -79,8 +80,8 @@ def xs_encode(images: np.ndarray, mode: str = "balanced", method: str = "rans",
     return [{"u8": cell(u), "i8": cell(i), "ll4": cell(l), "meta": a["meta"]} for u, i, l, a in zip(u8, i8, ll4, arenas, strict=True)]
 
 
-def xs_decode(rows: list[dict], half_chroma: bool, h: int, w: int, tables: dict | None = None) -> list[np.ndarray]:
-    """Images back; a damaged section raises."""
+def xs_arenas(rows: list[dict], tables: dict | None = None) -> list[dict]:
+    """Arenas (u8, i8, ll4, meta) of coded rows; a damaged section raises."""
     def sections(kind: str, undo) -> list[bytes]:
         got = undo([(r[kind]["method"], r[kind]["blob"]) for r in rows], tables[kind] if tables else None)
         for x in got:
@@ -89,8 +90,12 @@ def xs_decode(rows: list[dict], half_chroma: bool, h: int, w: int, tables: dict
         return got
 
     u8, i8, ll4 = sections("u8", E.unpack), sections("i8", E.unpack), sections("ll4", E.unpack_planar)
-    arenas = [{"u8": u, "i8": i, "ll4": l, "meta": r["meta"]} for u, i, l, r in zip(u8, i8, ll4, rows, strict=True)]
-    return [W.adaptive_decode(W.arena_unpack(a, half_chroma, h, w), half_chroma, h, w)[0] for a in arenas]
+    return [{"u8": u, "i8": i, "ll4": l, "meta": r["meta"]} for u, i, l, r in zip(u8, i8, ll4, rows, strict=True)]
+
+
+def xs_decode(rows: list[dict], half_chroma: bool, h: int, w: int, tables: dict | None = None, codebook: np.ndarray = W.CODEBOOK) -> list[np.ndarray]:
+    """Images back."""
+    return [W.adaptive_decode(W.arena_unpack(a, half_chroma, h, w), half_chroma, h, w, codebook)[0] for a in xs_arenas(rows, tables)]
 
 
 def psnr(a: np.ndarray, b: np.ndarray) -> float:

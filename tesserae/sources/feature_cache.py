@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tesserae.operators import packed as P
 from tesserae.operators import quantize as Q
-from tesserae.sources.tables import folders, remove, settled
+from tesserae.sources.tables import newest, publish, settled, sweep
 
 META = T.StructType([
     T.StructField("num_samples", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("group_size", T.IntegerType()),
@@ -71,9 +71,7 @@ class FeatureCacheWriter:
         n = self.check(df, column, 0, id_column)
         commit = self.store(df, column, id_column, n)
         self.publish(n, shard_sizes(n, self.settings.num_shards), [commit])
-        for old in folders(self.spark, f"{self.path}/data"):
-            if old != f"commit={commit}":
-                remove(self.spark, f"{self.path}/data/{old}")
+        sweep(self.spark, self.path, [commit])
 
     def append(self, df: DataFrame, column: str, id_column: str) -> None:
         """Add rows whose ids go on from the stored ones; one shard only."""
@@ -106,11 +104,8 @@ class FeatureCacheWriter:
         return commit
 
     def publish(self, n: int, sizes: list[int], commits: list[str]) -> None:
-        s, last = self.settings, versions(self.spark, self.path)
-        row = (n, s.dim, s.group_size, s.mode, s.num_shards, sizes, s.seq_len, commits)
-        self.spark.createDataFrame([row], META).coalesce(1).write.parquet(f"{self.path}/meta/v{max(last, default=0) + 1}")
-        for v in sorted(last)[:-1]:  # the one before stays for readers that have just taken it
-            remove(self.spark, f"{self.path}/meta/v{v}")
+        s = self.settings
+        publish(self.spark, self.path, (n, s.dim, s.group_size, s.mode, s.num_shards, sizes, s.seq_len, commits), META)
 
 
 def numbered(df: DataFrame, order: str, name: str = "sample_id") -> DataFrame:
@@ -123,17 +118,8 @@ def numbered(df: DataFrame, order: str, name: str = "sample_id") -> DataFrame:
     return p.withColumn("__o", own).join(before, F.col("__p") == F.col("__q")).withColumn(name, (F.col("__b") + F.col("__o")).cast("long")).drop("__p", "__q", "__b", "__o")
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of all metadata versions, whole ones or not."""
-    return [int(v[1:]) for v in folders(spark, f"{path.rstrip('/')}/meta") if v[:1] == "v" and v[1:].isdigit()]
-
-
 def read_meta(spark: SparkSession, path: str) -> dict:
-    at = path.rstrip("/")
-    for v in sorted(versions(spark, at), reverse=True):
-        if "_SUCCESS" in folders(spark, f"{at}/meta/v{v}", files=True):
-            return spark.read.schema(META).parquet(f"{at}/meta/v{v}").first().asDict()
-    raise FileNotFoundError(f"no cache at {at}")
+    return newest(spark, path, META)
 
 
 class FeatureCacheDataset:

@@ -13,13 +13,19 @@ from tesserae.functions import wavelet as W
 from tesserae.operators.arrow import arrow_schema
 
 IMAGE = "id long, height int, width int, channels int, data binary"
-EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "gif")
+EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 
 
-def read_directory(spark: SparkSession, path: str, height: int, width: int, channels: int = 3, limit: int | None = None) -> DataFrame:
-    """Images below a directory in path order, resized; ids are 0, 1, ... Colour files are refused for one channel."""
-    files = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e for x in EXTENSIONS for e in (x, x.upper())) + "}").option("dropInvalid", "true").load(path)
+def read_directory(spark: SparkSession, path: str, height: int, width: int, channels: int = 3, limit: int | None = None, extensions: tuple[str, ...] = EXTENSIONS, skip_invalid: bool = False) -> DataFrame:
+    """Images below a directory in path order, resized; ids are 0, 1, ... Colour files are refused for one channel.
+
+    Files that can't be decoded (Spark reads no webp) raise an error that names them, or, with
+    skip_invalid, are left out; `invalid_files` lists them.
+    """
+    files = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e for x in extensions for e in (x, x.upper())) + "}").load(path)
     rows = files.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    if skip_invalid:
+        rows = rows.where("height > 0")
     if limit is not None:
         rows = rows.orderBy("origin").limit(limit)
 
@@ -29,6 +35,8 @@ def read_directory(spark: SparkSession, path: str, height: int, width: int, chan
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
+                if r["height"] <= 0:
+                    raise ValueError(f"{r['origin']} can't be decoded")
                 a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
                 a = a[..., :3][..., ::-1] if r["nChannels"] >= 3 else a  # stored as BGR
                 if channels == 1 and a.shape[2] == 3:
@@ -41,6 +49,12 @@ def read_directory(spark: SparkSession, path: str, height: int, width: int, chan
     return numbered(rows.mapInArrow(run, schema), "origin", "id").select("id", "height", "width", "channels", "data")
 
 
+def invalid_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(origin) of image files below a directory that can't be decoded."""
+    files = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e for x in extensions for e in (x, x.upper())) + "}").load(path)
+    return files.where("image.height <= 0").select("image.origin")
+
+
 def tiles(df: DataFrame, key: str, payload: Column, side: int = 16) -> DataFrame:
     """(key, tile, height, width, channels, data): all bytes of each payload in RGB tiles, the last padded with zeros."""
     size = side * side * 3

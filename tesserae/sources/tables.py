@@ -27,6 +27,35 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of all metadata versions of a cache, whole ones or not."""
+    return [int(v[1:]) for v in folders(spark, f"{path.rstrip('/')}/meta") if v[:1] == "v" and v[1:].isdigit()]
+
+
+def publish(spark: SparkSession, path: str, row: tuple, schema) -> None:
+    """Write the next version of a cache's metadata; Spark's commit file makes it count."""
+    last = versions(spark, path)
+    spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{path}/meta/v{max(last, default=0) + 1}")
+    for v in sorted(last)[:-1]:  # the one before stays for readers that have just taken it
+        remove(spark, f"{path}/meta/v{v}")
+
+
+def newest(spark: SparkSession, path: str, schema) -> dict:
+    """The last whole version of a cache's metadata."""
+    at = path.rstrip("/")
+    for v in sorted(versions(spark, at), reverse=True):
+        if "_SUCCESS" in folders(spark, f"{at}/meta/v{v}", files=True):
+            return spark.read.schema(schema).parquet(f"{at}/meta/v{v}").first().asDict()
+    raise FileNotFoundError(f"no cache at {at}")
+
+
+def sweep(spark: SparkSession, path: str, commits: list[str]) -> None:
+    """Remove the data of commits that no longer count."""
+    for old in folders(spark, f"{path}/data"):
+        if old not in [f"commit={c}" for c in commits]:
+            remove(spark, f"{path}/data/{old}")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir (a temporary one only where none is set): every later use sees the same rows in the same partitions."""
     sc = df.sparkSession.sparkContext

@@ -92,6 +92,31 @@ def test_pixel_caches(spark, tmp_path):
         assert c.loader(2, drop_last=True).count() == 4
 
 
+def test_pixel_cache_grows(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    images = np.clip(rng.normal(120, 30, (5, 32, 32, 3)), 0, 255).astype(np.uint8)
+    for entropy in ("rans", "tans"):
+        at = f"file://{tmp_path}/{entropy}"
+        w = P.PixelCacheWriter(spark, at, "xs", "high", entropy, half_chroma=True, block=128, codebook=[0.25 * k for k in range(1, 17)])
+        w.append_batch([0, 1, 2], images[:3])
+        w.append_image(3, images[3])
+        c = P.PixelCacheDataset(spark, at)
+        assert len(c) == 4 and c.info()["half_chroma"] and sorted(r.id for r in c.images().collect()) == [0, 1, 2, 3]
+        whole = {r.id: bytes(r.data) for r in c.images().collect()}
+        assert bytes(c.get(-1).first().data) == whole[3] and bytes(c.unpack_arena(c.get_arena(2)).first().data) == whole[2]
+        assert c.get_arena_packed(1).first().code.meta == c.get_arena(1).first().meta
+        got = {r.id: bytes(r.data) for r in c.unpack_arena(c.loader(3, True, 1, kind="arenas")).collect()}
+        assert got == whole and c.loader(3, kind="packed").count() == 4
+        rows = P.collate(c.loader(3)).orderBy("batch_id").collect()
+        assert [r.ids for r in rows] == [[0, 1, 2], [3]] and bytes(rows[0].data[1]) == whole[1]
+        for bad in (lambda: w.append_image(3, images[4]), lambda: w.append_image(9, images[4][:16]), lambda: P.PixelCacheWriter(spark, at, "xs", "ultra").append_image(8, images[4]), lambda: c.get(7).count()):
+            with pytest.raises((ValueError, IndexError)):
+                bad()
+        assert len(P.PixelCacheDataset(spark, at)) == 4
+    with pytest.raises(ValueError):
+        P.PixelCacheWriter(spark, at, entropy="tans", dictionary={"u8": [], "i8": [], "ll4": []})
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(float(i), float(i) + 0.5) for i in range(1000)], "x double, r double")
     m = M.tensor_metrics(df).first()
@@ -136,5 +161,13 @@ def test_image_directory(spark, tmp_path):
 
     rows = read_directory(spark, f"file://{tmp_path}/d", 16, 16).orderBy("id").collect()
     assert [r.id for r in rows] == [0, 1, 2] and bytes(rows[0].data) == a.tobytes()
+    (tmp_path / "d" / "9.png").write_bytes(b"not an image")
+    from tesserae.sources.images import invalid_files
+
+    assert invalid_files(spark, f"file://{tmp_path}/d").count() == 1
+    with pytest.raises(Exception, match="can't be decoded"):
+        read_directory(spark, f"file://{tmp_path}/d", 16, 16).collect()
+    assert read_directory(spark, f"file://{tmp_path}/d", 16, 16, skip_invalid=True).count() == 3
+    (tmp_path / "d" / "9.png").unlink()
     out = P.cache_images(spark, f"file://{tmp_path}/d", f"file://{tmp_path}/cache", 16, 16, quant="raw")
     assert out["num_samples"] == 3 and F is not None
