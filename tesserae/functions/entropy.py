@@ -527,29 +527,33 @@ def rice_decode(blob: bytes) -> np.ndarray:
     return unzigzag(out)
 
 
-def learn_dictionary(hists: np.ndarray, k: int = 8, bits: int = TANS_BITS, seed: int = 0, rounds: int = 25) -> list[np.ndarray]:
-    """k frequency tables: seeded k-means on square roots of block distributions; every symbol keeps some mass."""
+def learn_dictionary(hists: np.ndarray, k: int = 8, bits: int = TANS_BITS, rounds: int = 25) -> list[np.ndarray]:
+    """At most k frequency tables for blocks with these byte counts: clusters by the bits that a block takes under a table.
+
+    Each table is the pooled count of its blocks, in which every symbol keeps some mass, and each
+    block belongs to the table that codes it shortest (the first of equals). The first table pools all blocks; the
+    next start from the block that those there are code worst. Tables without blocks go.
+    """
     h = np.asarray(hists, np.float64)
     h = h[h.sum(1) > 0] if h.ndim == 2 and h.shape[1] == 256 else np.zeros((0, 256))
     if not len(h):
         raise ValueError("there are no blocks to learn from")
-    x = np.sqrt(h / h.sum(1, keepdims=True))
-    rng = np.random.default_rng(seed)
-    centers = [x[rng.integers(len(x))]]
-    near = ((x - centers[0]) ** 2).sum(1)
-    while len(centers) < min(k, len(x)):
-        # the next seed is drawn in proportion to the squared distance from those there are
-        total = near.sum()
-        pick = int(np.searchsorted(np.cumsum(near), rng.random() * total)) if total > 0 else int(rng.integers(len(x)))
-        centers.append(x[min(pick, len(x) - 1)])
-        near = np.minimum(near, ((x - centers[-1]) ** 2).sum(1))
-    c = np.stack(centers)
+    table = lambda rows: normalize((rows.sum(0) * 256 + max(1.0, rows.sum() / 16)).astype(np.int64), bits)
+    cost = lambda f: h @ (bits - np.log2(f))
+    tables = [table(h)]
+    ideal = (h * np.log2(np.where(h > 0, h.sum(1, keepdims=True) / np.maximum(h, 1), 1))).sum(1)
+    while len(tables) < k:
+        worst = np.min([cost(f) for f in tables], axis=0) - ideal
+        new = table(h[[int(worst.argmax())]])
+        if any((new == f).all() for f in tables):
+            break
+        tables.append(new)
+    own = None
     for _ in range(rounds):
-        dist = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None]
-        own = dist.argmin(1)
-        new = np.stack([x[own == j].mean(0) if (own == j).any() else x[int(dist.min(1).argmax())] for j in range(len(c))])
-        if (new == c).all():
+        now = np.stack([cost(f) for f in tables]).argmin(0)
+        if own is not None and (now == own).all():
             break
-        c = new
-    tables = [normalize((row**2 * 1_000_000 + 1).astype(np.int64), bits) for row in c]
-    return tables + [tables[-1].copy() for _ in range(k - len(tables))]
+        own = now
+        tables = [table(h[own == j]) for j in range(len(tables)) if (own == j).any()]
+        own = np.unique(own, return_inverse=True)[1]
+    return tables

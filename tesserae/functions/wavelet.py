@@ -173,12 +173,12 @@ def rd_plane(plane: np.ndarray, base: int, lamb: float, gain: float, codebook: n
     return q.reshape(n, -1).astype(np.int8), index.astype(np.uint8)
 
 
-def adaptive_encode(images: np.ndarray, mode: str | None = "balanced", q_scale: float = 3.0, lamb: float = 5.0, half_chroma: bool | None = None, codebook: np.ndarray = CODEBOOK) -> tuple[list[dict], bool]:
-    """Channels with (codes (n, h, w), index (n, blocks), base step) for each plane, and whether chroma is halved."""
+def adaptive_encode(images: np.ndarray, mode: str | None = "balanced", q_scale: float = 3.0, lamb: float = 5.0, half_chroma: bool | None = None, codebook: np.ndarray = CODEBOOK, planes: list[dict] | None = None) -> tuple[list[dict], bool]:
+    """Channels with (codes (n, h, w), index (n, blocks), base step) for each plane, and whether chroma is halved; planes: the pyramid, if there is one already."""
     if mode is not None:
         q_scale, lamb = PRESETS[mode]
     half = (mode not in FULL_CHROMA) if half_chroma is None else half_chroma
-    out = pyramid(images, half)
+    out = [dict(own) for own in (pyramid(images, half) if planes is None else planes)]
     for c, level, b in order(half):
         p, base = out[c][level, b], step(q_scale, c, level, b)
         n, h, w = p.shape

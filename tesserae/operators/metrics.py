@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.ranking import running
+
+
 def diff() -> Column:
     return F.col("x") - F.col("r")
 
@@ -40,14 +43,12 @@ def tensor_metrics(values: DataFrame, *by: str) -> DataFrame:
 def outlier_error(values: DataFrame, share: float, *by: str) -> DataFrame:
     """Relative error on the `share` of values of greatest magnitude in each group, one at least.
 
-    The threshold comes from exact counts by magnitude (an aggregate, not a sort of a group in one
-    task); values equal to it count in proportion, so that ties need no order.
+    The threshold comes from exact counts by magnitude, added up through range partitions (no group
+    is sorted in one task); values equal to it count in proportion, so that ties need no order.
     """
     mags = values.groupBy(*by, F.abs("x").alias("m")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(diff())).alias("e"))
-    sizes = mags.groupBy(*by).agg(F.greatest(F.lit(1), F.floor(F.sum("n") * F.lit(share))).cast("long").alias("k"))
-    above = F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1))
-    met = mags.join(sizes, list(by)) if by else mags.crossJoin(F.broadcast(sizes))  # sizes is one row then
-    top = met.withColumn("before", F.coalesce(above, F.lit(0))).where("before < k")
+    k = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(share))).cast("long")
+    top = running(mags, list(by), [F.desc("m")], "n").withColumn("k", k).where("before < k")
     part = F.least(F.col("n"), F.col("k") - F.col("before")) / F.col("n")
     return top.groupBy(*by).agg(F.sum(F.least(F.col("n"), F.col("k") - F.col("before"))).alias("k"), (100.0 * F.sum(F.col("e") * part) / (F.sum(F.col("m") * F.col("n") * part) + 1e-12)).alias("outlier_err"))
 

@@ -43,32 +43,36 @@ def encode(df: DataFrame, column: str, mode: str = "amo_balanced", group: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [None if r is None else np.array(r, dtype=np.float64) for r in b.column(len(kept)).to_pylist()]
-            parts = [S.to_blocks(r, group) for r in rows if r is not None and len(r)]
-            got = search(np.concatenate(parts)) if parts else None
-            codes, at = [], 0
-            for r in rows:
-                if r is None:
-                    codes.append(None)
-                    continue
-                own = []
-                for k in range(-(-len(r) // group)):
-                    q = got[0][at, :min(group, len(r) - k * group)].tolist()
-                    if mode == "adaptive":
-                        _, s, w, e = got
-                        own.append({"block": k, "scale": s[at], "zp": 0, "winner": int(w[at]), "error": e[at], "q": q})
-                    else:
-                        _, s, z, w, e = got
-                        own.append({"block": k, "scale": s[at], "zp": int(z[at]), "winner": int(w[at]), "error": e[at], "q": q})
-                    at += 1
-                codes.append(own)
-            item = pa.struct([("block", pa.int32()), ("scale", pa.float64()), ("zp", pa.int32()), ("winner", pa.int32()), ("error", pa.float64()), ("q", pa.list_(pa.int32()))])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(codes, pa.list_(item))], names=[*kept, out])
+            x = b.column(len(kept))
+            blocks, size, per_row = cut(x, group)
+            if mode == "adaptive":
+                q, s, w, e = search(blocks) if len(blocks) else [np.zeros((0, group))] + [np.zeros(0)] * 3
+                z = np.zeros(len(s))
+            else:
+                q, s, z, w, e = search(blocks) if len(blocks) else [np.zeros((0, group))] + [np.zeros(0)] * 4
+            number = np.arange(len(size)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+            ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            kind = lambda v, t: pa.array(v.astype(t))
+            fields = [kind(number, np.int32), kind(s, np.float64), kind(z, np.int32), kind(w, np.int32), kind(e, np.float64), pa.ListArray.from_arrays(ends(size), kind(q[np.arange(group) < size[:, None]], np.int32))]
+            code = pa.ListArray.from_arrays(ends(per_row), pa.StructArray.from_arrays(fields, ["block", "scale", "zp", "winner", "error", "q"]), mask=x.is_null() if x.null_count else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], code], names=[*kept, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` {CODE}"
     return df.select("*", values(column).alias("__x")).mapInArrow(run, schema)
 
 
+def cut(x: pa.ListArray, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rows in blocks: (blocks, group) doubles padded with zeros, values of each block, and blocks of each row; null rows have none."""
+    long = x.value_lengths().fill_null(0).to_numpy()
+    per_row = -(-long // group)
+    size = np.full(int(per_row.sum()), group, dtype=np.int64)
+    some = per_row > 0
+    size[np.cumsum(per_row)[some] - 1] = long[some] - (per_row[some] - 1) * group
+    blocks = np.zeros((len(size), group))
+    blocks[np.arange(group) < size[:, None]] = x.flatten().to_numpy(zero_copy_only=False)
+    return blocks, size, per_row
+
+
 def decode(code: Column) -> Column:
     """array<double> on the bfloat16 grid from a code column: (q - zp) * scale."""
     return F.flatten(F.transform(code, lambda b: F.transform(b["q"], lambda q: N.bf16((q - b["zp"]) * b["scale"]))))
@@ -86,6 +90,41 @@ def bytes_per_value(mode: str, group: int) -> float:
     return {"int4": 0.5, "int3": 0.375}.get(mode, 1.0) + (3 if mode.startswith("amo") else 2) / group
 
 
+def coded_values(blocks: np.ndarray, mode: str) -> np.ndarray:
+    """What blocks decode to in a mode."""
+    if mode in LEVELS:
+        top, ok = LEVELS[mode], np.isfinite(blocks)
+        v = np.where(ok, blocks, 0.0)
+        s = S.bf16(np.maximum(np.abs(v).max(1), 1e-8) / top)[:, None]
+        return S.bf16(np.where(ok, np.clip(np.rint((v / s).astype(np.float32)), -top - 1, top), 0) * s)
+    if mode == "adaptive":
+        q, s, _, _ = S.adaptive(blocks)
+        return S.bf16(q * s[:, None])
+    q, s, z, _, _ = S.quality(blocks) if mode == "amo_quality" else S.amo(blocks, mode.removeprefix("amo_"))
+    return S.bf16((q - z[:, None]) * s[:, None])
+
+
+def errors(df: DataFrame, column: str, tried: list[tuple[str, int]]) -> DataFrame:
+    """(k, mode, group_size, sse, energy) of each (mode, group) in turn: one scan, a row of sums for each Arrow batch."""
+    for mode, group in tried:
+        if mode not in MODES or group <= 0:
+            raise ValueError(f"unknown mode {mode} or group {group}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = []
+            for mode, group in tried:
+                blocks, size, _ = cut(b.column(0), group)
+                here = np.arange(group) < size[:, None]
+                gone = np.where(here, blocks - coded_values(blocks, mode), 0.0) if len(blocks) else blocks
+                sums.append((float((gone * gone).sum()), float((blocks * blocks).sum())))
+            yield pa.record_batch({"k": pa.array(range(len(tried)), pa.int32()), "sse": pa.array([x for x, _ in sums], pa.float64()), "energy": pa.array([x for _, x in sums], pa.float64())})
+
+    rows = df.select(values(column).alias("x")).mapInArrow(run, "k int, sse double, energy double").groupBy("k").agg(F.sum("sse").alias("sse"), F.sum("energy").alias("energy"))
+    pick = lambda v: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("k") + 1)
+    return rows.select("k", pick([m for m, _ in tried]).alias("mode"), pick([g for _, g in tried]).alias("group_size"), "sse", "energy")
+
+
 def flat(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """One row per value: keep columns, pos, x."""
     return df.select(*keep, F.posexplode(values(column)).alias("pos", "x"))

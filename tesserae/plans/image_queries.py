@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import wavelet as W
 from tesserae.operators import images as I
-from tesserae.operators import metrics as M
 from tesserae.plans.cache_queries import scratch
 from tesserae.plans.quant_queries import R6, d, f32, sql_bf16
 from tesserae.sources import images as ingest
@@ -44,28 +42,29 @@ BYTES = f"h AS (SELECT page_id, hex(encode(coalesce(html, ''))) AS x FROM pages)
 TILES = f"SELECT page_id, CAST(unnest(range(0, (strlen(coalesce(html, '')) + {SIZE - 1}) // {SIZE})) AS INTEGER) AS tile"
 
 
-def pixels(spark, path):
-    """(page_id, tile, y, x, r, g, b): one row per pixel, for the window forms."""
-    byte = lambda k: F.conv(F.substr(F.col("hex"), k * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    px = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.struct(F.floor(i / SIDE).cast("int").alias("y"), (i % SIDE).alias("x"), byte(i * 3).alias("r"), byte(i * 3 + 1).alias("g"), byte(i * 3 + 2).alias("b")))
-    return tiles(spark, path).select("page_id", "tile", F.hex("data").alias("hex")).select("page_id", "tile", F.explode(px).alias("q")).select("page_id", "tile", "q.*")
-
-
 PIX = f"{BYTES}, px AS (SELECT page_id, tile, p // 3 // {SIDE} AS y, p // 3 % {SIDE} AS x, max(v) FILTER (p % 3 = 0) AS r, max(v) FILTER (p % 3 = 1) AS g, max(v) FILTER (p % 3 = 2) AS b FROM y GROUP BY page_id, tile, p // 3)"
 
 
 @query(f"WITH {PIX}, c AS (SELECT *, (r + 2 * g + b) >> 2 AS l, b - g AS cb, r - g AS cr FROM px), k AS (SELECT *, l - ((cb + cr) >> 2) AS g2 FROM c) SELECT page_id, CAST(tile AS INTEGER) AS tile, CAST(sum(l) AS BIGINT) AS sum_y, CAST(sum(cb) AS BIGINT) AS sum_cb, CAST(sum(cr) AS BIGINT) AS sum_cr, bool_and(cr + g2 = r AND g2 = g AND cb + g2 = b) AS same FROM k GROUP BY ALL")
 def rct_roundtrip(spark, path):
-    c = pixels(spark, path).select("*", F.shiftright(F.col("r") + 2 * F.col("g") + F.col("b"), 2).alias("l"), (F.col("b") - F.col("g")).alias("cb"), (F.col("r") - F.col("g")).alias("cr"))
-    g = F.col("l") - F.shiftright(F.col("cb") + F.col("cr"), 2)
-    same = (F.col("cr") + g == F.col("r")) & (g == F.col("g")) & (F.col("cb") + g == F.col("b"))
-    return c.groupBy("page_id", "tile").agg(F.sum("l").alias("sum_y"), F.sum("cb").alias("sum_cb"), F.sum("cr").alias("sum_cr"), F.bool_and(same).alias("same"))
+    """The colour transform of each tile and back."""
+    def fn(stack: np.ndarray) -> list[dict]:
+        n, yuv = len(stack), W.rct(stack)
+        total, same = yuv.reshape(n, -1, 3).sum(1, dtype=np.int64), (W.unrct(yuv) == stack).reshape(n, -1).all(1)
+        return [{"sum_y": int(t[0]), "sum_cb": int(t[1]), "sum_cr": int(t[2]), "same": bool(x)} for t, x in zip(total, same, strict=True)]
+
+    return flagged(spark, path, fn, "sum_y long, sum_cb long, sum_cr long, same boolean", "sum_y", "sum_cb", "sum_cr", "same")
 
 
 @query(f"WITH {PIX} , s AS (SELECT page_id, tile, y // 2 AS y, x // 2 AS x, (sum(b - g) + 2)::BIGINT >> 2 AS cb, (sum(r - g) + 2)::BIGINT >> 2 AS cr FROM px GROUP BY ALL) SELECT page_id, CAST(tile AS INTEGER) AS tile, CAST(sum(cb) AS BIGINT) AS sum_cb, CAST(sum(cr) AS BIGINT) AS sum_cr FROM s GROUP BY ALL".replace("GROUP BY ALL)", "GROUP BY page_id, tile, y // 2, x // 2)"))
 def downsample420(spark, path):
-    s = pixels(spark, path).groupBy("page_id", "tile", F.floor(F.col("y") / 2), F.floor(F.col("x") / 2)).agg(F.shiftright(F.sum(F.col("b") - F.col("g")) + 2, 2).alias("cb"), F.shiftright(F.sum(F.col("r") - F.col("g")) + 2, 2).alias("cr"))
-    return s.groupBy("page_id", "tile").agg(F.sum("cb").alias("sum_cb"), F.sum("cr").alias("sum_cr"))
+    """Halved chroma planes."""
+    def fn(stack: np.ndarray) -> list[dict]:
+        yuv = W.rct(stack)
+        cb, cr = (W.shrink(yuv[..., k]).reshape(len(stack), -1).sum(1, dtype=np.int64) for k in (1, 2))
+        return [{"sum_cb": int(x), "sum_cr": int(y)} for x, y in zip(cb, cr, strict=True)]
+
+    return flagged(spark, path, fn, "sum_cb long, sum_cr long", "sum_cb", "sum_cr")
 
 
 LIFT = f"""{BYTES}, e AS (SELECT page_id, tile, p // 2 AS j, max(v) FILTER (p % 2 = 0) AS ev, max(v) FILTER (p % 2 = 1) AS od FROM y GROUP BY page_id, tile, p // 2),
@@ -77,18 +76,14 @@ z AS (SELECT *, hi + ((ev2 + coalesce(lead(ev2) OVER w, ev2)) >> 1) AS od2 FROM
 
 @query(f"WITH {LIFT} SELECT page_id, CAST(tile AS INTEGER) AS tile, CAST(sum(lo) AS BIGINT) AS sum_low, CAST(sum(hi) AS BIGINT) AS sum_high, bool_and(ev2 = ev AND od2 = od) AS same FROM z GROUP BY ALL")
 def dwt1d_levels(spark, path):
-    """One lifting level over each tile's bytes as a row, and its inverse, as lag/lead windows within tiles."""
-    byte = lambda k: F.conv(F.substr(F.col("hex"), k * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    px = F.transform(F.sequence(F.lit(0), F.lit(SIZE // 2 - 1)), lambda j: F.struct(j.alias("j"), byte(j * 2).alias("ev"), byte(j * 2 + 1).alias("od")))
-    t = tiles(spark, path).select("page_id", "tile", F.hex("data").alias("hex")).select("page_id", "tile", F.explode(px).alias("q")).select("page_id", "tile", "q.*")
-    w = Window.partitionBy("page_id", "tile").orderBy("j")
-    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.col(c))
-    prv = lambda c: F.coalesce(F.lag(c).over(w), F.col(c))
-    t = t.withColumn("hi", F.col("od") - F.shiftright(F.col("ev") + nxt("ev"), 1))
-    t = t.withColumn("lo", F.col("ev") + F.shiftright(prv("hi") + F.col("hi") + 2, 2))
-    t = t.withColumn("ev2", F.col("lo") - F.shiftright(prv("hi") + F.col("hi") + 2, 2))
-    t = t.withColumn("od2", F.col("hi") + F.shiftright(F.col("ev2") + nxt("ev2"), 1))
-    return t.groupBy("page_id", "tile").agg(F.sum("lo").alias("sum_low"), F.sum("hi").alias("sum_high"), F.bool_and((F.col("ev2") == F.col("ev")) & (F.col("od2") == F.col("od"))).alias("same"))
+    """One lifting level over each tile's bytes as a row, and its inverse."""
+    def fn(stack: np.ndarray) -> list[dict]:
+        x = stack.reshape(len(stack), -1).astype(np.int64)
+        low, high = W.halves(x, -1)
+        same = (W.unhalves(low, high, -1) == x).all(1)
+        return [{"sum_low": int(a), "sum_high": int(b), "same": bool(e)} for a, b, e in zip(low.sum(1), high.sum(1), same, strict=True)]
+
+    return flagged(spark, path, fn, "sum_low long, sum_high long, same boolean", "sum_low", "sum_high", "same")
 
 
 def flagged(spark, path, fn, schema, *cols):
@@ -127,8 +122,9 @@ def adaptive_wavelet(spark, path):
     def fn(stack: np.ndarray) -> list[dict]:
         _, h, w, _ = stack.shape
         rows: list[list[dict]] = [[] for _ in stack]
+        planes = {half: W.pyramid(stack, half) for half in (False, True)}
         for mode in W.PRESETS:
-            coded, half = W.adaptive_encode(stack, mode)
+            coded, half = W.adaptive_encode(stack, mode, planes=planes[mode not in W.FULL_CHROMA])
             back = W.adaptive_decode(coded, half, h, w)
             for k in range(len(stack)):
                 rows[k].append({"mode": mode, "psnr": round(I.psnr(stack[k], back[k]), 6), "nonzero": int(sum((own[key][0][k] != 0).sum() for own in coded for key in own if key != "LL4"))})
@@ -142,8 +138,11 @@ def sparse_roundtrip(spark, path):
     """Every plane of the balanced preset through the sparse bitstream and back."""
     def fn(stack: np.ndarray) -> list[dict]:
         coded, half = W.adaptive_encode(stack, "balanced")
-        planes = [coded[c][level, b][0] for c, level, b in W.order(half)]
-        return [{"same": all((W.sparse_unpack(W.sparse_pack(p[k]), *p[k].shape) == p[k]).all() for p in planes)} for k in range(len(stack))]
+        same = np.ones(len(stack), bool)
+        for c, level, b in W.order(half):
+            p = coded[c][level, b][0]
+            same &= [bool((W.sparse_unpack(s, *x.shape) == x).all()) for s, x in zip(W.sparse_pack_all(p), p, strict=True)]
+        return [{"same": bool(s)} for s in same]
 
     return flagged(spark, path, fn, "same boolean", "same")
 
@@ -153,7 +152,7 @@ def arena_bytes(spark, path):
     """Bytes of each part of the arenas."""
     def fn(stack: np.ndarray) -> list[dict]:
         coded, half = W.adaptive_encode(stack, "balanced")
-        return [{"u8": len(a["u8"]), "i8": len(a["i8"]), "ll4": len(a["ll4"]), "planes": len(a["meta"])} for a in (W.arena_pack(coded, half, k) for k in range(len(stack)))]
+        return [{"u8": len(a["u8"]), "i8": len(a["i8"]), "ll4": len(a["ll4"]), "planes": len(a["meta"])} for a in W.arena_pack_all(coded, half)]
 
     return flagged(spark, path, fn, "u8 long, i8 long, ll4 long, planes long", "u8", "i8", "ll4", "planes")
 
@@ -200,11 +199,16 @@ def pixel_psnr_int3(spark, path):
 
 @query(f"WITH {BYTES}, t AS (SELECT page_id, CAST(v AS DOUBLE) AS x, CAST(v // 8 * 8 + 4 AS DOUBLE) AS r FROM y) SELECT page_id, round(((2 * avg(x) * avg(r) + 6.5025) * (2 * covar_pop(x, r) + 58.5225)) / ((avg(x) * avg(x) + avg(r) * avg(r) + 6.5025) * (var_pop(x) + var_pop(r) + 58.5225)), 6) AS ssim FROM t GROUP BY page_id")
 def ssim_global(spark, path):
-    """Structural similarity of a page's bytes and the same with five bits."""
-    hex_ = F.hex("data")
-    v = F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda i: F.conv(F.substr(F.col("h"), i * 2 + 1, F.lit(2)), 16, 10).cast("double"))
-    rows = tiles(spark, path).select("page_id", hex_.alias("h")).select("page_id", F.explode(v).alias("x")).withColumn("r", F.floor(F.col("x") / 8) * 8.0 + 4.0)
-    return rows.groupBy("page_id").agg(R6(M.ssim()).alias("ssim"))
+    """Structural similarity of a page's bytes and the same with five bits, from sums by tile."""
+    def fn(stack: np.ndarray) -> list[dict]:
+        x = stack.reshape(len(stack), -1).astype(np.int64)
+        r = x // 8 * 8 + 4
+        return [dict(zip(("n", "x", "r", "xx", "rr", "xr"), map(int, t), strict=True)) for t in zip([x.shape[1]] * len(x), x.sum(1), r.sum(1), (x * x).sum(1), (r * r).sum(1), (x * r).sum(1), strict=True)]
+
+    t = flagged(spark, path, fn, "n long, x long, r long, xx long, rr long, xr long", "n", "x", "r", "xx", "rr", "xr").groupBy("page_id").agg(*[F.sum(c).cast("double").alias(c) for c in ("n", "x", "r", "xx", "rr", "xr")])
+    mean = lambda c: F.col(c) / F.col("n")
+    x, r = mean("x"), mean("r")
+    return t.select("page_id", R6(((2 * x * r + 6.5025) * (2 * (mean("xr") - x * r) + 58.5225)) / ((x * x + r * r + 6.5025) * (mean("xx") - x * x + mean("rr") - r * r + 58.5225))).alias("ssim"))
 
 
 @query()
@@ -228,7 +232,7 @@ def block_dct(spark, path):
     return flagged(spark, path, fn, "rmse double, zeros double", "rmse", "zeros")
 
 
-@query()
+@query(f"WITH n AS (SELECT CAST(sum((strlen(coalesce(html, '')) + {SIZE - 1}) // {SIZE}) AS BIGINT) AS n FROM pages) SELECT CAST(unnest(range(0, n // 32)) AS BIGINT) AS batch_id, CAST(32 AS BIGINT) AS n, CAST(32 * {SIZE} AS BIGINT) AS bytes FROM n")
 def loader_batches(spark, path):
     """A shuffled loader over a raw cache: images by batch, short last batch dropped."""
     at = scratch(spark, "pixels-raw")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import numerics as N
 from tesserae.functions import search as S
 from tesserae.operators import metrics as M
 from tesserae.operators import quantize as Q
+from tesserae.operators.ranking import running
 from tesserae.sources.tables import scan
 
 QUERIES: dict = {}
@@ -117,17 +118,16 @@ def sym_rmse_by_label(spark, path):
 SWEEP = (8, 16, 32, 64)
 
 
-def error_row(coded: DataFrame, name: str, key, rec=None) -> DataFrame:
-    rec = Q.decode(F.col("code")) if rec is None else rec
-    x = Q.values("embedding")
-    rows = coded.select(N.total(F.zip_with(x, rec, lambda a, b: (a - b) * (a - b))).alias("sse"), N.total(F.transform(x, lambda a: a * a)).alias("energy"))
-    return rows.agg(F.lit(key).alias(name), R6(100.0 * F.sqrt(F.sum("sse")) / F.sqrt(F.sum("energy"))).alias("rel_rmse"))
-
 
 @query(" UNION ALL ".join(f"SELECT * FROM (WITH {sql_values(sql_sym(g))} SELECT CAST({g} AS INTEGER) AS group_size, {REL} AS rel_rmse FROM v)" for g in SWEEP))
 def group_size_sweep(spark, path):
-    rows = [error_row(sym(spark, path, g), "group_size", g) for g in SWEEP]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return tried(spark, path, [("sym", g) for g in SWEEP]).select("group_size", "rel_rmse")
+
+
+def tried(spark, path, settings):
+    """Q.errors with the relative error: all settings in one scan."""
+    rows = Q.errors(emb(spark, path), "embedding", settings)
+    return rows.select("k", "mode", "group_size", R6(100.0 * F.sqrt("sse") / F.sqrt("energy")).alias("rel_rmse"))
 
 
 def sql_cand(n: int, low: float, high: float) -> str:
@@ -331,14 +331,6 @@ def fp8_scale(spark, path):
 COMPARED = ("sym", "adaptive", "int4", "int3", "amo_fast", "amo_balanced", "amo_accurate", "amo_max")
 
 
-def compared(spark, path, group=32, modes=COMPARED):
-    rows = None
-    for m in modes:
-        one = error_row(sym(spark, path, group, m), "mode", m).withColumn("bytes_per_value", F.lit(Q.bytes_per_value(m, group)))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
-
-
 def sql_mode(mode: str, group: int) -> str:
     if mode in Q.LEVELS:
         body = f"WITH {sql_values(sql_sym(group, Q.LEVELS[mode]))}"
@@ -354,7 +346,8 @@ def sql_mode(mode: str, group: int) -> str:
 
 @query(" UNION ALL ".join(sql_mode(m, 32) for m in COMPARED))
 def mode_compare(spark, path):
-    return compared(spark, path)
+    per = F.create_map(*[F.lit(x) for m in COMPARED for x in (m, Q.bytes_per_value(m, 32))])
+    return tried(spark, path, [(m, 32) for m in COMPARED]).select("mode", "rel_rmse", F.element_at(per, F.col("mode")).alias("bytes_per_value"))
 
 
 ORDER = ("amo_fast", "amo_balanced", "amo_accurate", "amo_max")
@@ -367,17 +360,9 @@ def choose(rows: DataFrame, target: float = TARGET) -> DataFrame:
     return rows.agg(F.coalesce(ok, F.max_by(F.struct("group_size", "mode"), "k")).alias("c")).select("c.group_size", "c.mode")
 
 
-def tried(spark, path):
-    rows = None
-    for k, (g, m) in enumerate((g, m) for g in (32, 16) for m in ORDER):
-        one = error_row(sym(spark, path, g, m), "mode", m).withColumn("group_size", F.lit(g)).withColumn("k", F.lit(k))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
-
-
 @query("WITH t AS (" + " UNION ALL ".join(f"SELECT {k} AS k, {g} AS group_size, * FROM ({sql_mode(m, g)})" for k, (g, m) in enumerate((g, m) for g in (32, 16) for m in ORDER)) + f") SELECT CAST(group_size AS INTEGER) AS group_size, mode FROM t WHERE k = coalesce((SELECT min(k) FROM t WHERE rel_rmse <= {d(TARGET)}), (SELECT max(k) FROM t))")
 def auto_select(spark, path):
-    return choose(tried(spark, path))
+    return choose(tried(spark, path, [(m, g) for g in (32, 16) for m in ORDER]))
 
 
 @query(f"WITH t AS (SELECT CAST(sum(len(embedding)) AS BIGINT) AS numel FROM embeddings) SELECT g AS group_size, numel, CAST(ceil(numel / CAST(g AS DOUBLE)) AS BIGINT) AS num_blocks, numel + 3 * CAST(ceil(numel / CAST(g AS DOUBLE)) AS BIGINT) AS total_bytes, round({d(2.0)} / (1 + {d(3.0)} / g), 9) AS ratio_vs_bf16 FROM t, (SELECT CAST(unnest([8, 16, 32, 64, 128, 256]) AS INTEGER) AS g)")
@@ -423,16 +408,25 @@ def cumulative_error_share(spark, path):
     x, r = N.blocks(Q.values("embedding"), 32), F.transform("code", lambda b: F.transform(b["q"], lambda q: N.bf16(q * b["scale"])))
     err = F.zip_with(x, r, lambda a, b: F.round(N.total(F.zip_with(a, b, lambda u, v: (u - v) * (u - v))), 9))
     m = sym(spark, path).select("label", "vec_id", F.posexplode(err).alias("block", "e"))
-    own = Window.partitionBy("label")
-    share = F.sum("e").over(own.orderBy(F.desc("e"), "vec_id", "block").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("e").over(own)
-    return m.select("label", "vec_id", F.col("block").cast("long").alias("block"), R6(share).alias("share"))
+    m = running(m, ["label"], [F.desc("e"), F.col("vec_id"), F.col("block")], "e")
+    return m.select("label", "vec_id", F.col("block").cast("long").alias("block"), R6((F.col("before") + F.col("e")) / F.col("total")).alias("share"))
 
 
 @query(f"WITH {sql_blocks(32)}, g AS (SELECT label, list_max(x) - list_min(x) AS w FROM b) SELECT label, round(quantile_cont(w, {d(0.05)}), 6) AS p5, round(quantile_cont(w, {d(0.5)}), 6) AS p50, round(quantile_cont(w, {d(0.95)}), 6) AS p95, round(avg(CASE WHEN w < {d(0.5)} THEN {d(1.0)} ELSE {d(0.0)} END), 6) AS narrow FROM g GROUP BY label")
 def range_quantiles(spark, path):
-    g = emb(spark, path).select("label", F.explode(F.transform(N.blocks(Q.values("embedding"), 32), lambda b: F.array_max(b) - F.array_min(b))).alias("w"))
-    p = lambda q: R6(F.percentile("w", F.lit(q)))
-    return g.groupBy("label").agg(p(0.05).alias("p5"), p(0.5).alias("p50"), p(0.95).alias("p95"), R6(F.avg((F.col("w") < 0.5).cast("double"))).alias("narrow"))
+    """Exact quantiles by rank: rows are numbered through range partitions and the two around each place are picked."""
+    g = emb(spark, path).select("label", F.explode(F.transform(N.blocks(Q.values("embedding"), 32), lambda b: F.array_max(b) - F.array_min(b))).alias("w")).withColumn("one", F.lit(1).cast("long"))
+    g = running(g, ["label"], [F.asc("w")], "one")
+    last, narrow = F.col("total") - 1, F.sum((F.col("w") < 0.5).cast("long"))
+
+    def quantile(q):
+        at = last * F.lit(q)
+        pick = lambda k: F.max(F.when(F.col("before") == k, F.col("w")))
+        return pick(F.floor(at)), pick(F.ceil(at)), F.max(at - F.floor(at))
+
+    parts = {n: quantile(q) for n, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))}
+    t = g.groupBy("label").agg((narrow / F.count(F.lit(1))).alias("narrow"), *[c.alias(f"{n}_{k}") for n, cs in parts.items() for k, c in zip("abt", cs, strict=True)])
+    return t.select("label", *[R6(F.col(f"{n}_a") + (F.col(f"{n}_b") - F.col(f"{n}_a")) * F.col(f"{n}_t")).alias(n) for n in parts], R6("narrow").alias("narrow"))
 
 
 BAD = "CASE WHEN vec_id % 5 = 0 AND i % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN vec_id % 5 = 1 AND i < 32 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(v AS DOUBLE) END"

@@ -98,10 +98,15 @@ DOC_OK = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
 
 
 def there_and_back(spark, path, method, planar=False, tables=None, **kw):
-    src = docs(spark, path)
-    stored = S.coded(src, "doc_id", text(), method, planar, **({"tables": tables, "embed": False} if tables else {}), **kw)
-    back = S.decoded(stored, "doc_id", planar, tables).select(F.col("doc_id").alias("k"), "ok", "data")
-    return src.join(back, F.col("doc_id") == F.col("k")).select("doc_id", F.octet_length(text()).cast("long").alias("n_bytes"), (F.col("ok") & (F.col("data") == text())).alias("same"))
+    """Each text through a coder and back, in one pass: stored as it pays, decoded, compared."""
+    code, kw = {"rans": E.RANS, "tans": E.TANS}[method], kw | ({"tables": tables, "embed": False} if tables else {})
+
+    def fn(parts):
+        stored = (E.pack_planar if planar else E.pack)(parts, code, **kw)
+        back = (E.unpack_planar if planar else E.unpack)(stored, tables)
+        return [[{"n_bytes": len(p), "same": not isinstance(x, E.CorruptSection) and bytes(x) == p}] for p, x in zip(parts, back, strict=True)]
+
+    return S.map_sections(docs(spark, path), "doc_id", text(), fn, "n_bytes long, same boolean")
 
 
 @query(DOC_OK)
@@ -129,14 +134,15 @@ def planar_roundtrip(spark, path):
 def rice_roundtrip(spark, path):
     import numpy as np
 
-    q = F.flatten(F.transform("code", lambda b: b["q"]))
-    rows = sym(spark, path).select("vec_id", F.to_json(q).cast("binary").alias("b"))
+    import pyarrow as pa
 
-    def fn(parts):
-        vs = [np.array(__import__("json").loads(p)) for p in parts]
-        return [[{"n": len(v), "same": bool((E.rice_decode(E.rice_encode(v)) == v).all())}] for v in vs]
+    def run(batches):
+        for b in batches:
+            vs = [np.array(v.values.to_numpy()) for v in b.column(1)]
+            yield pa.record_batch({"vec_id": b.column(0), "n": pa.array([len(v) for v in vs], pa.int64()), "same": pa.array([bool((E.rice_decode(E.rice_encode(v)) == v).all()) for v in vs])})
 
-    return S.map_sections(rows, "vec_id", F.col("b"), fn, "n long, same boolean")
+    q = F.flatten(F.transform("code", lambda b: b["q"]))
+    return sym(spark, path).select(F.col("vec_id").cast("long"), q.alias("q")).mapInArrow(run, "vec_id long, n long, same boolean")
 
 
 ZZ = f"{sql_values(sql_sym())}, z AS (SELECT vec_id, CAST(CASE WHEN q < 0 THEN -2 * q - 1 ELSE 2 * q END AS BIGINT) AS u FROM v0)"
