@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import wavelet as W
 from tesserae.operators import images as I
+from tesserae.operators import quantize as Q
+from tesserae.plans import wavelet_sql
 from tesserae.plans.cache_queries import scratch
 from tesserae.plans.quant_queries import R6, d, f32, sql_bf16
 from tesserae.sources import images as ingest
@@ -106,7 +108,7 @@ def dwt2d_roundtrip(spark, path):
     return flagged(spark, path, fn, "same boolean", "same")
 
 
-@query()
+@query(wavelet_sql.static(PIX))
 def static_wavelet_psnr(spark, path):
     def fn(stack: np.ndarray) -> list[dict]:
         _, h, w, _ = stack.shape
@@ -116,7 +118,7 @@ def static_wavelet_psnr(spark, path):
     return flagged(spark, path, fn, "psnr double", "psnr")
 
 
-@query()
+@query(wavelet_sql.adaptive(PIX))
 def adaptive_wavelet(spark, path):
     """Error and non-zero codes of every preset, by page."""
     def fn(stack: np.ndarray) -> list[dict]:
@@ -147,7 +149,7 @@ def sparse_roundtrip(spark, path):
     return flagged(spark, path, fn, "same boolean", "same")
 
 
-@query()
+@query(wavelet_sql.arena(PIX))
 def arena_bytes(spark, path):
     """Bytes of each part of the arenas."""
     def fn(stack: np.ndarray) -> list[dict]:
@@ -211,13 +213,12 @@ def ssim_global(spark, path):
     return t.select("page_id", R6(((2 * x * r + 6.5025) * (2 * (mean("xr") - x * r) + 58.5225)) / ((x * x + r * r + 6.5025) * (mean("xx") - x * x + mean("rr") - r * r + 58.5225))).alias("ssim"))
 
 
-@query()
+@query(wavelet_sql.dct(PIX, Q.dct_matrix(), sql_bf16))
 def block_dct(spark, path):
-    """8 x 8 cosine transform of the luma plane, symmetric INT8 coefficients: error and share of zeros."""
+    """8 x 8 cosine transform of the luma plane, symmetric INT8 coefficients: error and number of zeros."""
     from tesserae.functions import search as S
-    from tesserae.operators.quantize import dct_matrix
 
-    m = np.array(dct_matrix())
+    m = np.array(Q.dct_matrix())
 
     def fn(stack: np.ndarray) -> list[dict]:
         y = W.rct(stack)[..., 0].astype(np.float64)
@@ -227,9 +228,9 @@ def block_dct(spark, path):
         s = S.bf16(np.maximum(np.abs(c).max(2), 1e-8) / 127)[:, :, None]
         q = np.clip(np.rint(c / s), -128, 127)
         back = m.T @ (q * s).reshape(b.shape) @ m
-        return [{"rmse": round(float(np.sqrt(((back[k] - b[k]) ** 2).mean())), 6), "zeros": round(float((q[k] == 0).mean()), 6)} for k in range(n)]
+        return [{"rmse": round(float(np.sqrt(((back[k] - b[k]) ** 2).mean())), 6), "zeros": int((q[k] == 0).sum())} for k in range(n)]
 
-    return flagged(spark, path, fn, "rmse double, zeros double", "rmse", "zeros")
+    return flagged(spark, path, fn, "rmse double, zeros long", "rmse", "zeros")
 
 
 @query(f"WITH n AS (SELECT CAST(sum((strlen(coalesce(html, '')) + {SIZE - 1}) // {SIZE}) AS BIGINT) AS n FROM pages) SELECT CAST(unnest(range(0, n // 32)) AS BIGINT) AS batch_id, CAST(32 AS BIGINT) AS n, CAST(32 * {SIZE} AS BIGINT) AS bytes FROM n")

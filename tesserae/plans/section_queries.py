@@ -183,7 +183,10 @@ def coder_efficiency(spark, path):
     return j.groupBy("lang").agg(F.sum("n_bytes").alias("n_bytes"), per("rans").alias("rans_bits"), per("tans").alias("tans_bits"), F.round(F.sum(F.col("shannon") * F.col("n_bytes")) / F.sum("n_bytes"), 6).alias("bound_bits"), F.round(F.avg((F.col("tans") < F.col("rans")).cast("double")), 6).alias("tans_wins"), F.percentile(F.col("tans") / F.col("rans"), F.lit(0.5)).alias("p50"))
 
 
-@query()
+@query(f"""WITH {BYTES.replace("SELECT doc_id, hex", "SELECT doc_id, coalesce(lang, '') AS lang, hex").replace("SELECT doc_id, i - 1", "SELECT lang, doc_id, i - 1").replace("SELECT doc_id, x, unnest", "SELECT lang, doc_id, x, unnest")},
+c AS (SELECT lang, byte, count(*) AS n FROM y GROUP BY lang, byte), f AS (SELECT lang, byte, least(4096, greatest(1, n * 4096 // CAST(sum(n) OVER (PARTITION BY lang) AS BIGINT))) AS f FROM c),
+o AS (SELECT *, 4096 - CAST(sum(f) OVER (PARTITION BY lang) AS BIGINT) AS rest, row_number() OVER (PARTITION BY lang ORDER BY f DESC, byte) AS k, lead(f) OVER (PARTITION BY lang ORDER BY f DESC, byte) AS second FROM f)
+SELECT lang, byte, CAST(CASE WHEN k > 1 THEN f WHEN f + rest >= coalesce(second, 0) THEN f + rest ELSE NULL END AS BIGINT) AS freq FROM o""")
 def table_normalize(spark, path):
     """Integer frequencies of each language's bytes, with a sum of 4096."""
     src = spark.read.parquet(f"{path}/documents.parquet").select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
