@@ -231,3 +231,19 @@ def dedup(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 def report(vectors: DataFrame) -> DataFrame:
     """The columns of op1."""
     return dedup(vectors)
+
+
+SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings
+), g AS (
+  SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v
+  WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= CAST({COSINE} AS DOUBLE)
+), r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a
+), m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id
+), k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, component_id, component_id = v.vec_id AS kept FROM v JOIN m ON m.id = v.vec_id LEFT JOIN k ON k.a = v.vec_id
+"""

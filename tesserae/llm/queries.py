@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op6_decontam": decontam.SQL}
+    return {"op1_embed_dedup": embed_dedup.SQL, "op2_minhash": minhash.SQL, "op3_mixing": mixing.SQL, "op6_decontam": decontam.SQL}

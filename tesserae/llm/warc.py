@@ -246,3 +246,12 @@ def report(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     back = ends.where("record_type = 'revisit'").join(whole, F.col("refers_to").eqNullSafe(F.col("rid")) & (F.col("declared") == F.col("rdigest")), "left")
     cols = lambda n, d: ["page_id", F.col(n).alias("payload_bytes"), F.col(d).alias("payload_digest"), "record_type", "refers_to", (F.col(d) == F.col("declared")).alias("verified")]
     return ends.where("record_type = 'response'").select(*cols("bytes_so_far", "sha1_so_far")).unionByName(back.select(*cols("rbytes", "rsha1")))
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h), d AS (SELECT page_id, first, p.h, sha1(p.h) || '0' AS x FROM p JOIN f ON p.h = f.h)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, 1 + 5 * i // 4, 2) AS INTEGER) >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, true AS verified
+FROM d
+"""
