@@ -210,10 +210,26 @@ def test_token_counts(spark):
     assert tokens.report(documents(spark, [])).count() == 0
 
 
-def test_splicing_gives_the_same_tokens():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_splicing_gives_the_same_tokens(name):
+    """Tokenizers that drop white space, keep it, or are sentencepiece models; texts with and without spaces."""
     import random
 
-    e, r = tokens.Encoder.get(tokens.default_path()), random.Random(2)
+    import public_tokenizers
+
+    e, r = tokens.Encoder.get(public_tokenizers.path(name)), random.Random(2)
+    assert e.splices and e.drops_space == (name == "word_bpe_49k.json")
     for _ in range(120):
-        t = "".join(r.choice(["a", "Bc", "é", "é", "'s", " ", "\n", "  ", "1", "<|endoftext|>", "İ", "--", "漢", " "]) for _ in range(r.randint(0, 700)))
-        assert list(e.spliced(t, 64, 8)) == e.spans(t, 0, len(t))
+        t = "".join(r.choice(["a", "Bc", "é", "e\u0301", "'s", " ", "\n", "  ", "1", "<|endoftext|>", "İ", "--", "漢", "。", "word", " the", ", "]) for _ in range(r.randint(0, 700)))
+        assert [x[2] for x in e.spliced(t, 64, 8)] == [x[2] for x in e.encode(t)], t
+    long = "漢字、今日。" * 3000 + "plain words and more, " * 3000
+    assert e.counts([long, "", "x"], 2000, 64) == e.lengths([long, "", "x"])
+
+
+def test_piece_memory_is_bounded(monkeypatch):
+    e = tokens.Encoder(tokens.default_path())
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 10_000)
+    for k in range(30):
+        assert e.counts([f"some words {k} w{k}x w{k}y"]) == e.lengths([f"some words {k} w{k}x w{k}y"])
+        e.counts([" ".join(f"a{k}b{j}" for j in range(200))])
+    assert len(e.known) < 700
