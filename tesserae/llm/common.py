@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -31,13 +32,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one is set only if the session has none."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one is set only for a session in one process that has none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not at:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         sc.setCheckpointDir(at)
         return at
