@@ -1,4 +1,4 @@
-"""Command line: info, benchmark, cache-info, compress-demo."""
+"""Command line: info, benchmark, cache-info, compress-demo, help."""
 
 from __future__ import annotations
 
@@ -40,9 +40,21 @@ def errors(spark, df, mode: str, group: int) -> float:
     return 100 * (s.e / s.n) ** 0.5
 
 
+def columns(spark, path: str) -> list[str]:
+    """Columns of a cache's metadata, which tell its kind."""
+    from tesserae.sources.tables import versions
+
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no cache at {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/meta/v{max(found)}").columns
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tesserae", description=__doc__)
+    p.add_argument("--version", action="version", version=f"tesserae {tesserae.__version__}")
     sub = p.add_subparsers(dest="command", required=True)
+    sub.add_parser("help", help="this text")
     sub.add_parser("info", help="versions and presets")
     b = sub.add_parser("benchmark", help="error and time of every mode")
     b.add_argument("--shape", default="64x768")
@@ -55,6 +67,9 @@ def main(argv: list[str] | None = None) -> int:
     d.add_argument("--mode", default="amo_balanced")
     d.add_argument("--group-size", type=int, default=32)
     a = p.parse_args(argv)
+    if a.command == "help":
+        p.print_help()
+        return 0
     if a.command == "info":
         import pyspark
 
@@ -63,8 +78,10 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
     if a.command == "cache-info":
         from tesserae.sources.feature_cache import FeatureCacheDataset
+        from tesserae.sources.pixel_cache import PixelCacheDataset
 
-        print(json.dumps(FeatureCacheDataset(spark, a.prefix).info(), indent=1))
+        kind = FeatureCacheDataset if "seq_len" in columns(spark, a.prefix) else PixelCacheDataset
+        print(json.dumps(kind(spark, a.prefix).info(), indent=1))
         return 0
     from tesserae.operators.quantize import MODES, bytes_per_value
 

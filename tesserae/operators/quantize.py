@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tesserae.functions import numerics as N
 from tesserae.functions import search as S
 
-MODES = ("sym", "adaptive", "int4", "int3", *(f"amo_{m}" for m in S.PRESETS))
-LEVELS = {"sym": 127, "int4": 7, "int3": 3}
+MODES = ("sym", "int7", "int6", "int5", "adaptive", "int4", "int3", *(f"amo_{m}" for m in S.PRESETS))
+LEVELS = {"sym": 127, "int7": 63, "int6": 31, "int5": 15, "int4": 7, "int3": 3}
 CODE = "array<struct<block:int,scale:double,zp:int,winner:int,error:double,q:array<int>>>"
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from tesserae.functions import numerics as N
 from tesserae.operators import quantize as Q
 from tesserae.plans.quant_queries import R6, emb, sql_sym, sql_values
 from tesserae.sources import feature_cache as C
+from tesserae.sources.tables import shared
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,8 +28,7 @@ def query(sql: str | None = None):
 
 
 def scratch(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserae-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cache(spark, path, shards=SHARDS, mode="sym"):

@@ -350,6 +350,22 @@ def mode_compare(spark, path):
     return tried(spark, path, [(m, 32) for m in COMPARED]).select("mode", "rel_rmse", F.element_at(per, F.col("mode")).alias("bytes_per_value"))
 
 
+WIDTHS = ("sym", "int7", "int6", "int5", "int4", "int3")
+
+
+@query(" UNION ALL ".join(f"SELECT mode, rel_rmse FROM ({sql_mode(m, 32)})" for m in WIDTHS))
+def int_widths(spark, path):
+    """Error of symmetric codes of 8 to 3 bits."""
+    return tried(spark, path, [(m, 32) for m in WIDTHS]).select("mode", "rel_rmse")
+
+
+@query(f"WITH {sql_values(sql_sym(32, 7))} SELECT label, CAST(count(*) AS BIGINT) AS n, round(avg(abs(x - r)), 6) AS mae, round(max(abs(x - r)), 9) AS max_err, CAST(count(*) FILTER (r = 0) AS BIGINT) AS zeros FROM v GROUP BY label")
+def error_spread(spark, path):
+    """Mean and greatest absolute error of 4-bit codes, and how many values become zero."""
+    rows = value_rows(sym(spark, path, 32, "int4"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), R6(F.avg(F.abs(F.col("x") - F.col("r")))).alias("mae"), F.round(F.max(F.abs(F.col("x") - F.col("r"))), 9).alias("max_err"), F.count(F.when(F.col("r") == 0, True)).alias("zeros"))
+
+
 ORDER = ("amo_fast", "amo_balanced", "amo_accurate", "amo_max")
 TARGET = 0.5
 

@@ -86,6 +86,27 @@ def table_select(spark, path):
     return costs.groupBy("doc_id", "block").agg(F.min(F.struct("cost", "k")).alias("m")).select("doc_id", "block", "m.k", "m.cost")
 
 
+@query(f"""WITH {TOY}, {BYTES}, c AS (SELECT doc_id, pos // {BLOCK} AS block, byte, count(*) AS n FROM y GROUP BY ALL), t AS (SELECT doc_id, block, sum(n) AS t, -sum(n * log2(n)) + sum(n) * log2(sum(n)) AS least FROM c GROUP BY ALL),
+s AS (SELECT doc_id, block, k, sum(n * (12 - log2(freq))) AS cost FROM c JOIN toy ON byte = sym GROUP BY ALL), m AS (SELECT doc_id, block, min(cost) AS cost FROM s GROUP BY ALL)
+SELECT doc_id, CAST(sum(t) AS BIGINT) AS n_bytes, round(sum(cost - least) / sum(t), 6) AS gap FROM m JOIN t USING (doc_id, block) GROUP BY doc_id""")
+def xent_gap(spark, path):
+    """Bits a byte that the best of the given tables takes above each block's own entropy, by section."""
+    import numpy as np
+
+    bits = 12 - np.log2(np.array(toy(), dtype=np.float64))
+
+    def fn(parts):
+        out = []
+        for p in parts:
+            h = E.block_histograms(p, BLOCK).astype(np.float64)
+            n = h.sum(1)
+            least = (h * np.log2(np.where(h > 0, n[:, None] / np.maximum(h, 1), 1))).sum()
+            out.append([{"n_bytes": len(p), "gap": round(float(((h @ bits.T).min(1).sum() - least) / len(p)), 6)}] if p else [])
+        return out
+
+    return S.map_sections(docs(spark, path), "doc_id", text(), fn, "n_bytes long, gap double")
+
+
 @query(f"WITH {TOY}, e AS (SELECT k, sym, unnest(range(0, freq)) AS i, freq FROM toy), o AS (SELECT k, sym, row_number() OVER (PARTITION BY k ORDER BY sym, i) - 1 AS n FROM e) SELECT k, CAST(n * 2563 % 4096 AS BIGINT) AS slot, sym FROM o")
 def tans_spread(spark, path):
     """Slot of every occurrence by its closed form."""

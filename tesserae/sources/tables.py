@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,19 @@ def sweep(spark: SparkSession, path: str, commits: list[str]) -> None:
             remove(spark, f"{path}/data/{old}")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, a temporary one serves a session in one process; on a cluster, whose machines don't share it, that is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        at = "file://" + tempfile.mkdtemp(prefix="tesserae-")
+    return at
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir (a temporary one only where none is set): every later use sees the same rows in the same partitions."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserae-"))
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)
