@@ -154,7 +154,7 @@ def dct(first: str, matrix: list[list[float]], bf16) -> str:
     m = s.add("SELECT unnest(range(0, 64)) // 8 AS k, unnest(range(0, 64)) % 8 AS i, unnest([" + ", ".join(d(v) for row in matrix for v in row) + "]) AS m")
     p = s.add("SELECT page_id, tile, y // 8 AS bi, x // 8 AS bj, y % 8 AS y, x % 8 AS x, CAST((r + 2 * g + b) >> 2 AS DOUBLE) AS v FROM px")
     a = s.add(f"SELECT page_id, tile, bi, bj, k AS u, x, sum(m * v) AS v FROM {p} JOIN {m} ON i = y GROUP BY page_id, tile, bi, bj, k, x")
-    c = s.add(f"SELECT page_id, tile, bi, bj, u, k AS w, sum(m * v) AS v FROM {a} JOIN {m} ON i = x GROUP BY page_id, tile, bi, bj, u, k")
+    c = s.add(f"SELECT page_id, tile, bi, bj, u, k AS w, round(sum(m * v), 6) AS v FROM {a} JOIN {m} ON i = x GROUP BY page_id, tile, bi, bj, u, k")
     g = s.add(f"SELECT page_id, tile, bi, bj, u // 4 AS h, {bf16(f'(greatest(max(abs(v)), {d(1e-8)}) / {d(127.0)})')} AS sc FROM {c} GROUP BY page_id, tile, bi, bj, u // 4")
     q = s.add(f"SELECT c.page_id, c.tile, v, sc, greatest({d(-128.0)}, least({d(127.0)}, round_even(v / sc, 0))) AS q FROM {c} c JOIN {g} g ON c.page_id = g.page_id AND c.tile = g.tile AND c.bi = g.bi AND c.bj = g.bj AND c.u // 4 = g.h")
-    return s.text(f"SELECT page_id, CAST(tile AS INTEGER) AS tile, round(sqrt(avg((v - q * sc) * (v - q * sc))), 6) AS rmse, CAST(count(*) FILTER (q = 0) AS BIGINT) AS zeros FROM {q} GROUP BY page_id, tile")
+    return s.text(f"SELECT page_id, CAST(tile AS INTEGER) AS tile, round(sqrt(avg((v - q * sc) * (v - q * sc))), 4) AS rmse, CAST(count(*) FILTER (q = 0) AS BIGINT) AS zeros FROM {q} GROUP BY page_id, tile")
