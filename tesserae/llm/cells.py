@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import checkpoint, components, spread_join
+from tesserae.llm.common import checkpoint, spread_join
 
 
 def map_cells(df: DataFrame, cell: str, fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -75,7 +75,7 @@ Links = Callable[[pa.Table], Callable[[int | np.ndarray, np.ndarray], np.ndarray
 
 
 def connect(rows: DataFrame, limit: int, links: Links, pairwise: bool = False) -> DataFrame:
-    """Links (a, b) that connect, in each group, all that links there; rows (node, id, weight, payload).
+    """Links (a, b) that connect, in each group, all that links there; rows (node, id, weight, total, payload), a stored table; total is the group's weight.
 
     links(table) gives the test for rows by their numbers in it, test(i, js); with `pairwise` it takes as
     many i as js, too. A group of weight up to `limit` is one cell.
@@ -84,41 +84,37 @@ def connect(rows: DataFrame, limit: int, links: Links, pairwise: bool = False) -
     meets, block by block, the rest. So no pair that may add a connection is left out, and a group
     of near copies costs about as many comparisons as it has rows.
     """
-    sizes = rows.groupBy("node").agg(F.sum("weight").alias("total"))
-
-    def deal(r: DataFrame, s: DataFrame) -> DataFrame:
-        r = spread_join(r, s.select("node", F.greatest(F.ceil(F.col("total") / limit), F.lit(1)).cast("int").alias("blocks")), "node")
-        return r.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-
-    first = deal(rows, sizes).withColumn("label", F.col("id"))
+    blocks = lambda total: F.greatest(F.ceil(total / limit), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
+    links_of = lambda df: df.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    first = rows.withColumn("blocks", blocks(F.col("total"))).withColumn("mine", mine).withColumn("label", F.col("id"))
     first = checkpoint(parts(first.withColumn("cell", F.xxhash64("node", "mine")).withColumn("side", F.lit(0)), links, pairwise))
-    edges = first.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
-    large = sizes.where(F.col("total") > limit)
-    if not large.limit(1).count():
+    edges, own = links_of(first), rows.where(F.col("total") > limit)
+    if not own.limit(1).count():
         return edges
-    large = checkpoint(large)
-    own = spread_join(rows, large.select("node"), "node")
     # one row of each part, block against block
-    several = first.where("blocks > 1")
-    heads = checkpoint(own.join(several.where("id = label").select("node", "id"), ["node", "id"]))
-    across = deal(heads, heads.groupBy("node").agg(F.sum("weight").alias("total")))
+    several = first.where("blocks > 1").select("node", "id", "label")
+    heads = checkpoint(own.drop("total").join(several.where("id = label").select("node", "id"), ["node", "id"]))
+    across = spread_join(heads, heads.groupBy("node").agg(F.sum("weight").alias("total")), "node").withColumn("blocks", blocks(F.col("total"))).withColumn("mine", mine)
     across = across.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     across = across.withColumn("cell", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("side", F.col("mine")).withColumn("label", F.col("id"))
-    across = checkpoint(parts(across, links, pairwise)).where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
-    edges = edges.unionByName(across)
-    label = components(several.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(across)).withColumnRenamed("component", "label")
-    own = checkpoint(own.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    across = checkpoint(parts(across, links, pairwise))
+    edges = edges.unionByName(links_of(across))
+    # rows of one label are connected; labels may still be parts of one component, which only costs comparisons
+    up = across.groupBy("node", F.col("id").alias("label")).agg(F.min("label").alias("up"))
+    label = several.join(up, ["node", "label"], "left").select("node", "id", F.coalesce("up", "label").alias("label"))
+    own = checkpoint(own.join(label, ["node", "id"]))
     main = own.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     minor = checkpoint(spread_join(own, main, "node").where("label <> main").drop("main"))
-    few = minor.groupBy("node").agg(F.greatest(F.ceil(F.sum("weight") / limit), F.lit(1)).cast("int").alias("probes"))
+    few = checkpoint(minor.groupBy("node").agg(blocks(F.sum("weight")).alias("probes")))
     if not few.limit(1).count():
         return edges
-    few = checkpoint(few)
-    probes = deal(spread_join(minor, few, "node"), large).withColumn("p", F.pmod(F.xxhash64("id", F.lit(8)), F.col("probes")).cast("int"))
+    dealt = lambda df: spread_join(df, few, "node").withColumn("blocks", blocks(F.col("total"))).withColumn("mine", mine)
+    probes = dealt(minor).withColumn("p", F.pmod(F.xxhash64("id", F.lit(8)), F.col("probes")).cast("int"))
     probes = probes.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    meet = deal(spread_join(own, few, "node"), large).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("probes") - 1))).withColumn("q", F.col("mine")).withColumn("side", F.lit(1))
+    meet = dealt(own).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("probes") - 1))).withColumn("q", F.col("mine")).withColumn("side", F.lit(1))
     last = parts(probes.unionByName(meet.select(probes.columns)).withColumn("cell", F.xxhash64("node", "p", "q")), links, pairwise)
-    return edges.unionByName(checkpoint(last).where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")))
+    return edges.unionByName(links_of(checkpoint(last)))
 
 
 def parts(rows: DataFrame, links: Links, pairwise: bool) -> DataFrame:

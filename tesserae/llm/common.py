@@ -158,16 +158,25 @@ def no_spans() -> Column:
 HOT_SHARE, HOT_ROWS = 1 / 1000, 128
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+#: Narrow rows that are worth a task of their own.
+TASK_ROWS = 50_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table of about so many narrow rows in as many tasks as they need (never more than it has)."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """left joined with right (one row for each key at most), "inner" or "left", without bringing a hot key into one task.
 
-    left is counted here, so it should be a stored table. Its hot keys, at most 1 / HOT_SHARE by
+    left is counted here, so it should be a stored table (of about `rows` rows, if known). Its hot keys, at most 1 / HOT_SHARE by
     definition, meet a broadcast of their rows of right; all other keys are shuffled; rows without a
     key meet nothing.
     """
     rest = left.where(F.col(key).isNotNull())
     counts = rest.groupBy(key).agg(F.count(F.lit(1)).alias("sj_n"))
-    total, top = counts.agg(F.sum("sj_n"), F.max("sj_n")).first()
+    total, top = (counts if rows is None else packed(counts, rows)).agg(F.sum("sj_n"), F.max("sj_n")).first()
     most = max(HOT_ROWS, int((total or 0) * HOT_SHARE))
     hot = [r[0] for r in counts.where(F.col("sj_n") > most).select(key).collect()] if (top or 0) > most else []
     parts = [rest]
@@ -206,11 +215,13 @@ def components(edges: DataFrame) -> DataFrame:
     if not seen[0]:
         return spark.createDataFrame([], "id long, component long")
     for _ in range(MAX_ROUNDS):
+        n = seen[0]
+        e = packed(e, n)
         # large star: what is above b moves to the least that b knows; small star: all that a knows moves to the least of it
-        large = checkpoint(spread_join(e, least(e, "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        large = packed(checkpoint(spread_join(e, least(e, "b"), "b", "left", n).select("a", F.coalesce("m", "b").alias("b")).distinct()), n)
         small = large.join(least(large, "a"), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         e = checkpoint(small)
-        now = mark(e)
+        now = mark(packed(e, n))
         if now == seen:
             break
         seen = now

@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.cells import connect
-from tesserae.llm.common import checkpoint, components, small, spread_join, stored
+from tesserae.llm.common import checkpoint, components, packed, small, spread_join, stored
 
-SIGNATURE, TREES, DEPTH, LEAF, BLOCK = 128, 6, 4, 128, 1024
+SIGNATURE, TREES, DEPTH, LEAF, BLOCK = 128, 6, 4, 128, 2048
 #: Bytes of shingle sets of a candidate group that one task compares; groups with more are connected in blocks.
 BLOCK_BYTES = 8 << 20
 #: Bytes of text hashed together.
@@ -205,32 +205,32 @@ def branch(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def sketch_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect what matches by signature within each node of rows (node, id, sig)."""
+    """Links (a, b) that connect what matches by signature within each node of rows (node, id, size, sig)."""
     least = SIGNATURE * (similarity - SPREAD * (similarity * (1 - similarity) / SIGNATURE) ** 0.5)
 
     def links(cell: pa.Table):
         sig = matrix(cell.column("payload"))
         return lambda i, js: (sig[js] == sig[i]).sum(1) >= least
 
-    return connect(rows.select("node", "id", F.lit(1).alias("weight"), F.col("sig").alias("payload")), BLOCK, links, pairwise=True)
+    return connect(rows.select("node", "id", F.lit(1).alias("weight"), F.col("size").alias("total"), F.col("sig").alias("payload")), BLOCK, links, pairwise=True)
 
 
 def candidates(reps: DataFrame, similarity: float, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
     """Links between documents that some tree brings together and whose signatures match. reps: (doc_id, sig)."""
     roots = F.explode(F.array(*[F.lit(t).cast("long") for t in range(1, trees + 1)]))
     nodes = branch(reps.select(roots.alias("node"), "doc_id", "sig"), similarity)
-    leaves = None
+    leaves, rows = None, trees * reps.count()
     for level in range(1, depth + 1):
-        nodes = checkpoint(nodes)
+        nodes = packed(checkpoint(nodes), rows)
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        met = checkpoint(spread_join(nodes, sizes, "node"))
+        met = packed(checkpoint(spread_join(nodes, sizes, "node", rows=rows)), rows)
         end = level == depth
         done = met if end else met.where(F.col("size") <= leaf)
         leaves = done if leaves is None else leaves.unionByName(done)
         if end or not met.where(F.col("size") > leaf).limit(1).count():
             break
         nodes = branch(met.where(F.col("size") > leaf).join(reps, "doc_id"), similarity)
-    leaves = stored(leaves.select("node", "doc_id").distinct().join(reps, "doc_id").withColumnRenamed("doc_id", "id"), "leaves")
+    leaves = stored(leaves.select("node", "doc_id", "size").distinct().join(reps, "doc_id").withColumnRenamed("doc_id", "id"), "leaves")
     return sketch_links(leaves, similarity)
 
 
@@ -248,6 +248,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, k: int, similarity: float) ->
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(groups, F.col("doc_id") == F.col("id")).select("component", "id", "text")
     sets = stored(texts.mapInArrow(run, "node long, id long, weight long, payload binary").where("weight > 0"), "candidates")
+    totals = sets.groupBy("node").agg(F.sum("weight").alias("total"))
 
     def links(cell: pa.Table):
         payload = cell.column("payload").combine_chunks()
@@ -269,7 +270,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, k: int, similarity: float) ->
 
         return linked
 
-    return connect(sets, BLOCK_BYTES, links)
+    return connect(spread_join(sets, totals, "node"), BLOCK_BYTES, links)
 
 
 def dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
