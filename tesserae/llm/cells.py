@@ -75,7 +75,7 @@ Links = Callable[[pa.Table], Callable[[int | np.ndarray, np.ndarray], np.ndarray
 
 
 def connect(rows: DataFrame, limit: int, links: Links, pairwise: bool = False) -> DataFrame:
-    """Links (a, b) that connect, in each group, all that links there; rows (node, id, weight, total, payload), a stored table; total is the group's weight.
+    """Links (a, b) that connect, in each group, all that links there; rows (node, id, weight, total, payload), read again only for groups above the limit; total is the group's weight.
 
     links(table) gives the test for rows by their numbers in it, test(i, js); with `pairwise` it takes as
     many i as js, too. A group of weight up to `limit` is one cell.

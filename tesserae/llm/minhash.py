@@ -230,8 +230,8 @@ def candidates(reps: DataFrame, similarity: float, trees: int = TREES, depth: in
         if end or not met.where(F.col("size") > leaf).limit(1).count():
             break
         nodes = branch(met.where(F.col("size") > leaf).join(reps, "doc_id"), similarity)
-    leaves = stored(leaves.select("node", "doc_id", "size").distinct().join(reps, "doc_id").withColumnRenamed("doc_id", "id"), "leaves")
-    return sketch_links(leaves, similarity)
+    leaves = packed(checkpoint(leaves.select("node", "doc_id", "size").distinct()), rows)
+    return sketch_links(leaves.join(reps, "doc_id").withColumnRenamed("doc_id", "id"), similarity)
 
 
 def confirmed(docs: DataFrame, groups: DataFrame, k: int, similarity: float) -> DataFrame:
