@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import MARKS, ascii_lower, checkpoint, let, small, split_words, spread_join, stored
+from tesserae.llm.common import MARKS, ascii_lower, checkpoint, let, split_words, spread_join, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -157,7 +157,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", gram: i
     on = F.col("doc_id").eqNullSafe(F.col("dc_id")) & (key == F.col("dc_key"))
     if mode == "document":
         keys = hit.select("dc_id", "dc_key")
-        return docs.join(keys if small(keys) else keys.hint("shuffle_hash"), on, "left_anti")
+        return docs.join(keys.hint("shuffle_hash"), on, "left_anti")
     met = docs.join(hit, on, "left")
     text = F.when(F.col("dc_spans").isNull(), F.col("text")).otherwise(cut_spans(F.col("text"), F.col("dc_spans")))
     return met.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.cells import connect
-from tesserae.llm.common import checkpoint, components, packed, small, spread_join, stored
+from tesserae.llm.common import checkpoint, components, packed, spread_join, stored
 
 SIGNATURE, TREES, DEPTH, LEAF, BLOCK = 128, 6, 4, 128, 2048
 #: Bytes of shingle sets of a candidate group that one task compares; groups with more are connected in blocks.
@@ -289,13 +289,13 @@ def dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TRE
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
     """The rows of docs whose id is the smallest of their group, once each (rows with a null id stay).
 
-    Texts don't move where the ids that go are few enough for Spark to broadcast; else they are
+    Texts are
     shuffled once, and not sorted.
     """
     judged = checkpoint(dedup(docs, k, similarity, trees).select("doc_id", "kept"))
     out = stored(judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("mh_id")).distinct(), "dropped")
     again = stored(judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("mh_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh_id"), "again")
-    whole = docs.join(out.hint("shuffle_hash") if not small(out) else out, F.col("doc_id") == F.col("mh_id"), "left_anti")
+    whole = docs.join(out.hint("shuffle_hash"), F.col("doc_id") == F.col("mh_id"), "left_anti")
     if again.limit(1).count():  # rows that repeat an id: the first by the hash of its text
         rows = whole.join(again, F.col("doc_id") == F.col("mh_id")).withColumn("mh_r", F.row_number().over(Window.partitionBy("mh_id").orderBy(F.xxhash64("text")))).where("mh_r = 1")
         whole = whole.join(again, F.col("doc_id") == F.col("mh_id"), "left_anti").unionByName(rows.select(*docs.columns))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import SPACES, checkpoint, count_words, ranked, small, stored
+from tesserae.llm.common import SPACES, checkpoint, count_words, ranked, stored
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -68,10 +68,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     c = copies(docs, weights, max_repeat, seed).groupBy(F.xxhash64("doc_id", "source", "size").alias("mx_key")).agg(F.count(F.lit(1)).alias("mx_n"), *[n(v) for v in range(1, max_repeat + 1)])
     c = stored(c.where(sum(F.col(f"mx_{v}") for v in range(1, max_repeat + 1)) > 0), "copies")
     once = c.where("mx_n = 1").select(F.col("mx_key").alias("mx_own"), sum(v * F.col(f"mx_{v}") for v in range(1, max_repeat + 1)).cast("int").alias("mx_copies"))
-    out = docs.join(once if small(once) else once.hint("shuffle_hash"), key == F.col("mx_own"))
+    out = docs.join(once.hint("shuffle_hash"), key == F.col("mx_own"))
     several = c.where("mx_n > 1").withColumnRenamed("mx_key", "mx_own")
     if several.limit(1).count():
-        same = docs.join(several if small(several) else several.hint("shuffle_hash"), key == F.col("mx_own")).withColumn("mx_id", F.monotonically_increasing_id())
+        same = docs.join(several.hint("shuffle_hash"), key == F.col("mx_own")).withColumn("mx_id", F.monotonically_increasing_id())
         same = ranked(same, "mx_own", [F.xxhash64("text"), F.col("mx_id")], "mx_r")
         times, upto = F.lit(0), F.lit(0)
         for v in range(max_repeat, 0, -1):  # the first rows are taken most often
