@@ -167,6 +167,14 @@ def packed(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // TASK_ROWS)))
 
 
+def few(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """A narrow table of about so many rows in a task for each core or for each `each` rows, where Spark merges no partitions by itself.
+
+    Each task that writes leaves a file, for which Hadoop's local file system starts processes of its own.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """left joined with right (one row for each key at most), "inner" or "left", without bringing a hot key into one task.
 

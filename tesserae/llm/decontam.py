@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import MARKS, ascii_lower, checkpoint, let, split_words, spread_join, stored
+from tesserae.llm.common import MARKS, ascii_lower, checkpoint, few, let, split_words, spread_join, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -28,6 +28,8 @@ GRAM = 10
 BITS_EACH, MIN_BITS, MAX_BITS = 64, 12, 26
 #: Windows of up to so many bytes are broadcast; more are shuffled.
 MAX_BROADCAST = 64 << 20
+#: Documents whose results (spans and items included) are worth a task.
+TASK_DOCS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -83,7 +85,8 @@ def possible(w: Column, sizes: list[int], table: Column, bits: int) -> Column:
 
 def hits(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, max_bits: int = MAX_BITS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """One row per input row: its columns but `text`, then dc_n_words, dc_spans (sorted struct<s,e>, distinct) and dc_items (sorted, distinct)."""
-    wins = checkpoint(windows(benchmark, gram))
+    most = benchmark.agg(F.sum(F.length("text").cast("long") + 1)).first()[0] or 0  # a window starts at a word, and a word takes two characters with what stands after it
+    wins = checkpoint(few(windows(benchmark, gram), most // 2))
     width = F.aggregate(F.concat("dc_win", "dc_ids"), F.lit(64).cast("long"), lambda a, x: a + 32 + F.octet_length(x))
     n_wins, n_bytes, sizes = wins.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0)), F.sort_array(F.collect_set(F.size("dc_win")))).first()  # at most GRAM sizes
     keep = [c for c in docs.columns if c != "text"]
@@ -108,7 +111,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, max_bits: int
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The columns of op6."""
-    h = hits(docs.select("doc_id", "text"), benchmark)
+    h = few(hits(docs.select("doc_id", "text"), benchmark), docs.count(), TASK_DOCS)
     n_hit = union_length(F.col("dc_spans")).cast("long")
     return h.select(
         "doc_id", F.col("dc_n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("dc_items").cast("long").alias("n_items"),

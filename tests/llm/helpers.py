@@ -1,7 +1,9 @@
 """Small tables with every awkward row, and brute-force versions of the operators."""
 
+import contextlib
 import random
 import re
+from pathlib import Path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,3 +64,21 @@ def near_components(rows, k, percent):
                 x, y = find(ids[a]), find(ids[b])
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
+
+
+@contextlib.contextmanager
+def many_partitions(spark, n=64):
+    """Shuffles have n partitions, and Spark merges none; yields a function that counts the files checkpointed meanwhile."""
+    from tesserae.llm.common import shared_dir
+
+    at = Path(re.sub("^file:/*", "/", shared_dir(spark)))
+    files = lambda: set(at.glob("**/rdd-*/part-*"))
+    own, before = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}, files()
+    old = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield lambda: len(files() - before)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from helpers import awkward, documents, marks
+from helpers import awkward, documents, many_partitions, marks
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontam, license_scan, pii, tokens
@@ -142,6 +142,16 @@ def test_decontamination_removes(spark, tainted):
     assert twice.count() == 2 * len(rows)
 
 
+def test_decontamination_leaves_few_files(spark, tainted):
+    """A file costs the executors processes of their own, so narrow tables take a task for each core, whatever the shuffles have."""
+    rows, items = tainted
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), documents(spark, rows)
+    with many_partitions(spark) as files:
+        got = decontam.report(docs, bench)
+        assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and 0 < files() <= spark.sparkContext.defaultParallelism
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()} == brute_hits([(r[0], r[1]) for r in rows], items)
+
+
 LICENSES = [
     None, "", "MIT License", "x mit-license, MIT  license.", "_mit_license_ élicense", "Licensed under the Apache License, Version 2.0.", "GNU General Public License, version 3", "general public license general public license",
     "Licensed under CC BY-NC 4.0.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "All rights reserved.", "mit der lizenz", "word " * 30_000 + "mit license " * 3, "SPDX-License-Identifier: MPL-2.0", "public domain? released into the public domain",
