@@ -36,11 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import checkpoint, remove, shared_dir
+from tesserae.llm.common import checkpoint, few, remove, shared_dir
 
 CHUNK = 256 * 1024
 HEAD = 1 << 20  # a longer HTTP head counts as payload
 MIN_BYTES = 0
+#: Records that are worth a task that reads archives.
+TASK_RECORDS = 2_000
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,7 +121,8 @@ def write(pages: DataFrame, out_dir: str, min_bytes: int = MIN_BYTES, chunk: int
             rename_shared(temp, name)
             yield pa.record_batch({"path": pa.array([name]), "records": pa.array([records], pa.int64())})
 
-    return checkpoint(typed(pages, min_bytes).mapInArrow(run, "path string, records long"))
+    done = typed(pages, min_bytes).mapInArrow(run, "path string, records long")
+    return checkpoint(done.repartition(max(1, pages.sparkSession.sparkContext.defaultParallelism)))  # a file for each core, not for each archive
 
 
 def put(out, page_id: int | None, url: str | None, digest: str, payload: memoryview, kind: str, refers: int | None, chunk: int) -> None:
@@ -213,8 +216,8 @@ def records(f, chunk: int = CHUNK) -> Iterator[dict]:
             raise ValueError("a record's length doesn't match its end")
 
 
-def read(spark: SparkSession, archives: DataFrame, with_data: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """The chunk rows (RECORDS) of archives (path); without data, the bytes are digested and dropped."""
+def read(spark: SparkSession, archives: DataFrame, with_data: bool = True, chunk: int = CHUNK, tasks: int | None = None) -> DataFrame:
+    """The chunk rows (RECORDS) of archives (path), read by so many tasks (by default as many as shuffles have); without data, the bytes are digested and dropped."""
     schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("declared", pa.string()), ("chunk_no", pa.int64()), ("data", pa.binary()), ("last", pa.bool_()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +235,7 @@ def read(spark: SparkSession, archives: DataFrame, with_data: bool = True, chunk
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     n = max(1, spark.sparkContext.defaultParallelism)
-    return archives.select("path").repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(run, RECORDS)
+    return archives.select("path").repartition(max(n, tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, RECORDS)
 
 
 def report(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -240,12 +243,13 @@ def report(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     spark = pages.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     archives = write(pages, at, min_bytes)
-    ends = checkpoint(read(spark, archives, with_data=False).where("last").drop("data"))
+    n_archives, n = archives.agg(F.count(F.lit(1)), F.coalesce(F.sum("records"), F.lit(0))).first()
+    ends = checkpoint(read(spark, archives, with_data=False, tasks=min(n_archives, -(-n // TASK_RECORDS))).where("last").drop("data"))
     remove(spark, at)  # read and checked; the digests are checkpointed
     whole = ends.where("record_type = 'response'").groupBy(F.col("page_id").alias("rid"), F.col("declared").alias("rdigest")).agg(F.max("bytes_so_far").alias("rbytes"), F.max("sha1_so_far").alias("rsha1"))
     back = ends.where("record_type = 'revisit'").join(whole, F.col("refers_to").eqNullSafe(F.col("rid")) & (F.col("declared") == F.col("rdigest")), "left")
     cols = lambda n, d: ["page_id", F.col(n).alias("payload_bytes"), F.col(d).alias("payload_digest"), "record_type", "refers_to", (F.col(d) == F.col("declared")).alias("verified")]
-    return ends.where("record_type = 'response'").select(*cols("bytes_so_far", "sha1_so_far")).unionByName(back.select(*cols("rbytes", "rsha1")))
+    return ends.where("record_type = 'response'").select(*cols("bytes_so_far", "sha1_so_far")).unionByName(few(back, n).select(*cols("rbytes", "rsha1")))
 
 
 SQL = """

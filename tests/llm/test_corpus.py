@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import awkward, documents, marks, near_components, words
+from helpers import awkward, documents, many_partitions, marks, near_components, words
 from pyspark.sql import functions as F
 
 from tesserae.llm import langid, mixing, sharding, warc
@@ -132,6 +132,16 @@ def test_archives(spark):
     assert warc.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archives_leave_few_files(spark):
+    """Beside the pages' own partitions, narrow tables take a task for each core, whatever the shuffles have."""
+    n = spark.sparkContext.defaultParallelism
+    pages = spark.createDataFrame([(i, "u", f"<p>{i // 2}</p>") for i in range(400)], "page_id long, url string, html string").coalesce(n)
+    with many_partitions(spark) as files:
+        got = warc.report(pages)
+        assert got.rdd.getNumPartitions() <= 2 * n and 0 < files() <= 3 * n
+        assert sorted((g.page_id, g.record_type, g.refers_to, g.verified) for g in got.collect()) == [(i, "revisit" if i % 2 else "response", i - 1 if i % 2 else None, True) for i in range(400)]
+
+
 def test_chunk_rows(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "z" * 1_000_000), (2, "u", "")], "page_id long, url string, html string")
     archives = warc.write(pages, f"file://{tmp_path}/w")
