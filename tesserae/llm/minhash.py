@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.cells import connect
-from tesserae.llm.common import checkpoint, components, packed, spread_join, stored
+from tesserae.llm.common import TASK_ROWS, checkpoint, components, few, packed, spread_join, stored
 
 SIGNATURE, TREES, DEPTH, LEAF, BLOCK = 128, 6, 4, 128, 2048
 #: Bytes of shingle sets of a candidate group that one task compares; groups with more are connected in blocks.
 BLOCK_BYTES = 8 << 20
+#: Rows of nodes (three numbers each), and of ids with signatures, that are worth a task and a file of their own.
+NODE_ROWS, SIG_ROWS = 5 * TASK_ROWS, TASK_ROWS
 #: Bytes of text hashed together.
 GATHER = 1 << 18
 SPREAD = 3.5  # standard deviations of the sketch's error that still make a candidate
@@ -221,16 +223,16 @@ def candidates(reps: DataFrame, similarity: float, trees: int = TREES, depth: in
     nodes = branch(reps.select(roots.alias("node"), "doc_id", "sig"), similarity)
     leaves, rows = None, trees * reps.count()
     for level in range(1, depth + 1):
-        nodes = packed(checkpoint(nodes), rows)
+        nodes = packed(checkpoint(few(nodes, rows, NODE_ROWS)), rows)
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        met = packed(checkpoint(spread_join(nodes, sizes, "node", rows=rows)), rows)
+        met = packed(checkpoint(few(spread_join(nodes, sizes, "node", rows=rows), rows, NODE_ROWS)), rows)
         end = level == depth
         done = met if end else met.where(F.col("size") <= leaf)
         leaves = done if leaves is None else leaves.unionByName(done)
         if end or not met.where(F.col("size") > leaf).limit(1).count():
             break
         nodes = branch(met.where(F.col("size") > leaf).join(reps, "doc_id"), similarity)
-    leaves = packed(checkpoint(leaves.select("node", "doc_id", "size").distinct()), rows)
+    leaves = packed(checkpoint(few(leaves.select("node", "doc_id", "size").distinct(), rows, NODE_ROWS)), rows)
     return sketch_links(leaves.join(reps, "doc_id").withColumnRenamed("doc_id", "id"), similarity)
 
 
@@ -276,14 +278,16 @@ def confirmed(docs: DataFrame, groups: DataFrame, k: int, similarity: float) ->
 def dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
     f = stored(features(docs, k), "features")
-    classes = checkpoint(f.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    n = f.count()
+    classes = checkpoint(few(f.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), n, NODE_ROWS))
     reps = f.select("doc_id", "digest", "sig").join(classes.withColumnRenamed("digest", "rdigest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("rdigest")))
-    reps = stored(reps.select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]), "reps")
-    groups = stored(components(candidates(reps, similarity, trees)), "groups")
+    reps = stored(few(reps.select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]), n, SIG_ROWS), "reps")
+    groups = stored(few(components(candidates(reps, similarity, trees)), n, NODE_ROWS), "groups")
     links = components(confirmed(docs, groups, k, similarity))
     classes = classes.join(links, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = spread_join(f.select("doc_id", "n", "digest"), classes, "digest", "left").withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+    return few(out, n)
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from helpers import awkward, documents, near_components, prose, shingles
+from helpers import awkward, documents, many_partitions, near_components, prose, shingles
 
 from tesserae.llm import embed_dedup, minhash
 from tesserae.llm.common import components
@@ -41,6 +41,24 @@ def test_large_nodes_and_blocks(spark, monkeypatch):
     assert {i: g["component_id"] for i, g in got.items()} == near_components([(x[0], x[1]) for x in rows], 3, 85)
 
 
+def test_near_dedup_leaves_few_files(spark, monkeypatch):
+    """Nodes, leaves, signatures and the result take a task for each core, whatever the shuffles have."""
+    rows, n, wrote = awkward(7, 120), spark.sparkContext.defaultParallelism, {}
+    store, compare = minhash.stored, minhash.sketch_links
+    monkeypatch.setattr(minhash, "stored", lambda df, name: wrote.setdefault(name, store(df, name)))
+    with many_partitions(spark) as files:
+
+        def compared(*args):
+            wrote["nodes"] = files()
+            return compare(*args)
+
+        monkeypatch.setattr(minhash, "sketch_links", compared)
+        got = minhash.dedup(documents(spark, rows), 3, 0.85)
+        assert 0 < wrote["nodes"] <= 4 * n  # classes, nodes twice, leaves
+        assert all(len(wrote[name].inputFiles()) <= n for name in ("reps", "groups")) and got.rdd.getNumPartitions() <= n
+        assert {r.doc_id: r.component_id for r in got.collect()} == near_components([(r[0], r[1]) for r in rows], 3, 85)
+
+
 def test_near_dedup_edges(spark):
     assert minhash.dedup(documents(spark, [])).count() == 0
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (None, "a b c d e f", "en", "s", 1), (2, "A B C D E F", "en", "s", 1), (3, "", "en", "s", 1), (4, "", "en", "s", 1)]
