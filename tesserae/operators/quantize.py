@@ -95,7 +95,7 @@ def coded_values(blocks: np.ndarray, mode: str) -> np.ndarray:
     if mode in LEVELS:
         top, ok = LEVELS[mode], np.isfinite(blocks)
         v = np.where(ok, blocks, 0.0)
-        s = S.bf16(np.maximum(np.abs(v).max(1), 1e-8) / top)[:, None]
+        s = S.bf16(S.f32(np.maximum(np.abs(v).max(1), 1e-8) / top))[:, None]
         return S.bf16(np.where(ok, np.clip(np.rint((v / s).astype(np.float32)), -top - 1, top), 0) * s)
     if mode == "adaptive":
         q, s, _, _ = S.adaptive(blocks)
