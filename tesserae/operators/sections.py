@@ -6,14 +6,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import entropy as E
 from tesserae.operators.arrow import arrow_schema
 
-#: Sections that go through a coder together.
-BATCH = 256
+#: Sections that go through a coder together, and their most bytes when all are as long as the longest.
+BATCH, PADDED = 256, 1 << 25
+
+
+def runs(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs that go through a coder together: coders pad to the longest, so a very long section goes with few others."""
+    at, most = 0, 0
+    for i, n in enumerate(map(int, lengths)):
+        if i > at and (i - at == BATCH or max(most, n) * (i - at + 1) > PADDED):
+            yield at, i - at
+            at, most = i, 0
+        most = max(most, n)
+    if len(lengths):
+        yield at, len(lengths) - at
 
 
 def map_sections(df: DataFrame, key: str, payload: Column, fn: Callable[[list[bytes]], list[list[dict]]], schema: str) -> DataFrame:
@@ -22,8 +35,8 @@ def map_sections(df: DataFrame, key: str, payload: Column, fn: Callable[[list[by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                b = whole.slice(at, BATCH)
+            for at, rows in runs(pc.binary_length(whole.column(1)).to_numpy()):
+                b = whole.slice(at, rows)
                 got = fn(b.column(1).to_pylist())
                 n = [len(rows) for rows in got]
                 flat = [r for rows in got for r in rows]

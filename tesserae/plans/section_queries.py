@@ -194,14 +194,15 @@ def entropy_gate(spark, path):
 
 @query()
 def coder_efficiency(spark, path):
-    """Stored bits a byte of both coders beside the entropy bound, by language."""
-    src = docs(spark, path)
-    bound = S.entropies(src, "doc_id", text(), 512)
-    size = lambda m, **kw: S.coded(src, "doc_id", text(), m, **kw).select("doc_id", F.octet_length("blob").alias(m))
-    lang = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang")
-    j = bound.join(size("rans"), "doc_id").join(size("tans", block=512), "doc_id").join(lang, "doc_id")
-    per = lambda c: F.round(8 * F.sum(c) / F.sum("n_bytes"), 6)
-    return j.groupBy("lang").agg(F.sum("n_bytes").alias("n_bytes"), per("rans").alias("rans_bits"), per("tans").alias("tans_bits"), F.round(F.sum(F.col("shannon") * F.col("n_bytes")) / F.sum("n_bytes"), 6).alias("bound_bits"), F.round(F.avg((F.col("tans") < F.col("rans")).cast("double")), 6).alias("tans_wins"), F.percentile(F.col("tans") / F.col("rans"), F.lit(0.5)).alias("p50"))
+    """Stored bits a byte of both coders beside the entropy bound, by language: one pass over the texts. A text without bytes has no ratio, a language without bytes no bits a byte."""
+
+    def fn(parts):
+        rans, tans = ([len(b) for _, b in E.pack(parts, code, **kw)] for code, kw in ((E.RANS, {}), (E.TANS, {"block": 512})))
+        return [[{"n_bytes": len(p), "shannon": S.bits_per_byte(E.histogram(p)) if p else 0.0, "rans": r, "tans": t}] for p, r, t in zip(parts, rans, tans, strict=True)]
+
+    j = S.map_sections(scan(spark, path, "documents", "lang", "text"), "lang", text(), fn, "n_bytes long, shannon double, rans long, tans long")
+    per = lambda c: F.round(F.try_divide(8 * F.sum(c), F.sum("n_bytes")), 6)
+    return j.groupBy("lang").agg(F.sum("n_bytes").alias("n_bytes"), per("rans").alias("rans_bits"), per("tans").alias("tans_bits"), F.round(F.try_divide(F.sum(F.col("shannon") * F.col("n_bytes")), F.sum("n_bytes")), 6).alias("bound_bits"), F.round(F.avg((F.col("tans") < F.col("rans")).cast("double")), 6).alias("tans_wins"), F.percentile(F.try_divide("tans", "rans"), F.lit(0.5)).alias("p50"))
 
 
 @query(f"""WITH {BYTES.replace("SELECT doc_id, hex", "SELECT doc_id, coalesce(lang, '') AS lang, hex").replace("SELECT doc_id, i - 1", "SELECT lang, doc_id, i - 1").replace("SELECT doc_id, x, unnest", "SELECT lang, doc_id, x, unnest")},

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 
 from tesserae.functions import search as S
+from tesserae.operators import sections
 from tesserae.plans import catalog
 
 
@@ -22,3 +23,21 @@ def test_scales_near_half_way(spark, tmp_path):
     want = db.sql(catalog.oracle_sql()["adaptive_int8"])
     got = catalog.queries()["adaptive_int8"](spark, f"file://{tmp_path}").select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_coders_by_language(spark, tmp_path):
+    """Texts without bytes, null ones, and ids that repeat."""
+    rows = [(1, "abcab " * 40, "en"), (1, "", "en"), (None, "x" * 700, "en"), (2, None, "fr"), (3, "", "fr"), (4, "noir et blanc " * 9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.lang: r for r in catalog.queries()["coder_efficiency"](spark, f"file://{tmp_path}").collect()}
+    assert {k: r.n_bytes for k, r in got.items()} == {"en": 940, "fr": 0, None: 126}
+    assert got["fr"].rans_bits is None and got["fr"].p50 is None and got["fr"].tans_wins == 0
+    assert 0 < got["en"].rans_bits < 8 and got["en"].p50 > 0
+
+
+def test_long_sections_go_with_few():
+    lengths = np.array([3] * 300 + [1 << 24] * 3 + [1 << 26] + [3] * 5)
+    cut = list(sections.runs(lengths))
+    assert [a for a, _ in cut] == np.cumsum([0, *(n for _, n in cut)])[:-1].tolist() and sum(n for _, n in cut) == len(lengths)
+    assert all(n <= sections.BATCH and (n == 1 or lengths[a:a + n].max() * n <= sections.PADDED) for a, n in cut)
+    assert list(sections.runs(lengths[:0])) == []
